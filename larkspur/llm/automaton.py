@@ -196,19 +196,33 @@ def compile_patterns(patterns: list[tuple[str, bool]], anywhere: bool) -> Automa
     classes: dict[tuple, int] = {}
     of_byte = [classes.setdefault(tuple(signature[c]), len(classes)) for c in range(256)]
     sample = {k: c for c, k in reversed(list(enumerate(of_byte)))}
-    begin = nfa.closure({start})
+    # sets of states are bit masks; moves[s][k]: what state s leads to by class k, closed
+    closed = [sum(1 << t for t in nfa.closure({s})) for s in range(len(nfa.free))]
+    moves: dict[int, list[int]] = {}
+    for s, steps in enumerate(nfa.steps):
+        if steps:
+            row = [0] * len(classes)
+            for chars, t in steps:
+                for k, c in sample.items():
+                    if c in chars:
+                        row[k] |= closed[t]
+            moves[s] = row
+    active = sum(1 << s for s in moves)
+    begin = closed[start]
     number, order, table = {begin: 0}, [begin], []
     for states in order:
-        row = []
-        for k in range(len(classes)):
-            moved = {t for s in states for chars, t in nfa.steps[s] if sample[k] in chars}
-            target = nfa.closure(moved | {start} if anywhere else moved)
+        row = [begin if anywhere else 0] * len(classes)
+        rest = states & active
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            row = [a | b for a, b in zip(row, moves[low.bit_length() - 1], strict=True)]
+        for target in row:
             if target not in number:
                 number[target] = len(order)
                 order.append(target)
-            row.append(number[target])
-        table.append(row)
-    accepts = [tuple(sorted({final[s] for s in states if s in final})) for states in order]
+        table.append([number[t] for t in row])
+    accepts = [tuple(sorted(k for s, k in final.items() if states >> s & 1)) for states in order]
     # Moore's refinement: split blocks until equal states agree on all classes
     block = {a: i for i, a in enumerate(dict.fromkeys(accepts))}
     part = [block[a] for a in accepts]

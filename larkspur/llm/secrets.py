@@ -22,6 +22,7 @@ class Rule:
     least: int = 0  # characters of the match, or of its value
     value: str = ""  # pattern of what precedes the value
     base: bool = False
+    detect: str = ""  # a shorter pattern that every match begins with or holds; keeps the common automaton small
 
 
 _KEY = "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
@@ -30,11 +31,11 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", "[0-9a-f]+", least=24, base=True),
     # added by the method: public formats of further credentials
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", least=32),
-    Rule("hosted_token", "(gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9_-]+", least=20),
-    Rule("bearer", "bearer\\x20+[A-Za-z0-9._~+/-]+=*", True, 23),
-    Rule("url_login", "[a-z]+://[A-Za-z0-9._%~-]+:[A-Za-z0-9._%~!$&*+-]+@[A-Za-z0-9.-]+"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", detect="-----BEGIN "),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", least=32, detect="eyJ[A-Za-z0-9]"),
+    Rule("hosted_token", "(gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9_-]+", least=20, detect="(gh[pousr]_|glpat-|xox[abprs]-)"),
+    Rule("bearer", "bearer\\x20+[A-Za-z0-9._~+/-]+=*", True, 23, detect="bearer\\x20"),
+    Rule("url_login", "[a-z]+://[A-Za-z0-9._%~-]+:[A-Za-z0-9._%~!$&*+-]+@[A-Za-z0-9.-]+", detect="://[A-Za-z0-9._%~-]+:"),
 )
 
 
@@ -46,17 +47,25 @@ def detector(rules) -> Automaton:
     flag a text.  Other lengths are checked on the located matches: counting them
     here would multiply the states of rules whose matches may begin inside others.
     """
-    return compile_patterns([(f"{r.pattern[:-1]}{{{r.least},}}" if r.least and re.fullmatch(r"\[[^]]*\]\+", r.pattern) else r.pattern, r.ignore_case) for r in rules], True)
+    return compile_patterns([(r.detect or (f"{r.pattern[:-1]}{{{r.least},}}" if r.least and re.fullmatch(r"\[[^]]*\]\+", r.pattern) else r.pattern), r.ignore_case) for r in rules], True)
 
 
-class Scanner:
-    """Finds the spans of all rules in UTF-8 text."""
+class Compiled:
+    """The automata of some rules: one of all rules for detection, and one each to locate matches."""
 
     def __init__(self, rules=RULES):
         self.rules = tuple(rules)
-        self.start = detector(self.rules).linked_rows()[0]
+        self.all = detector(self.rules)
         self.single = [compile_patterns([(r.pattern, r.ignore_case)], False) for r in self.rules]
         self.heads = [compile_patterns([(r.value, r.ignore_case)], False) if r.value else None for r in self.rules]
+
+
+class Scanner:
+    """Finds the spans of all rules in UTF-8 text."""
+
+    def __init__(self, compiled: Compiled):
+        self.rules, self.single, self.heads = compiled.rules, compiled.single, compiled.heads
+        self.start = compiled.all.linked_rows()[0]
         self.first_bytes = [re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in range(256) if a.next[0][c] != a.dead) + b"]") for a in self.single]
 
     def flagged(self, data: bytes) -> set[int]:
@@ -126,8 +135,11 @@ def scan(df: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text")
     kind = df.schema[doc_id].dataType.simpleString()
     base = [r.kind for r in rules if r.base]
 
+    # compiled once; a few hundred states, whatever the data
+    shared = df.sparkSession.sparkContext.broadcast(Compiled(rules))
+
     def run(batches):
-        scanner = Scanner(rules)
+        scanner = Scanner(shared.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(len(base) + 2)]
             for value in batch.column(1).cast(pa.large_string()).cast(pa.large_binary()):
