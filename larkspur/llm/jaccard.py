@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
             kind, left = None, None
             for x, y in zip(batch.column(2), batch.column(3)):
                 mine, other = x.as_buffer(), y.as_buffer()
-                if kind != mine:
+                if kind is None or not kind.equals(mine):
                     kind, left = mine, np.frombuffer(mine, U64)
                 right = np.frombuffer(other, U64)
                 at = np.minimum(np.searchsorted(left, right), len(left) - 1)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .words import U64, _tables, _LOWER, mix, text_chunks, word_hashes
 
@@ -213,9 +214,7 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", keep=None) -
     names = [n for n, _ in CHAIN]
     own = [c for c in docs.columns if c.lower() not in {f"p_{n}" for n in names}]
     base = docs.select(*[f"`{c}`" for c in own])
-    schema = base.schema
-    for n in names:
-        schema = type(schema)(schema.fields).add(f"p_{n}", "double")
+    schema = StructType([*base.schema.fields, *(StructField(f"p_{n}", DoubleType()) for n in names)])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
