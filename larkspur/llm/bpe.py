@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 # Unicode White_Space, which is what \s means to the pattern.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -109,19 +110,20 @@ def read_ranks(path: str) -> bytes:
 
 def encode(df: DataFrame, rank_data: bytes, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """df with a column of token ids (array<int>).  Null text: empty array.  A column named `ids` is replaced."""
-    return _mapped(df, rank_data, pattern, text, ids, "array<int>", pa.list_(pa.int32()), lambda c, column: [c.encode(x or "") for x in column.to_pylist()])
+    return _mapped(df, rank_data, pattern, text, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), lambda c, column: [c.encode(x or "") for x in column.to_pylist()])
 
 
 def decode(df: DataFrame, rank_data: bytes, pattern: str, ids: str = "token_ids", data: str = "decoded") -> DataFrame:
     """df with the raw bytes of an array of ids (binary): ids may end inside a character.  Null ids: empty."""
-    return _mapped(df, rank_data, pattern, ids, data, "binary", pa.binary(), lambda c, column: [c.decode(x or []) for x in column.to_pylist()])
+    return _mapped(df, rank_data, pattern, ids, data, BinaryType(), pa.binary(), lambda c, column: [c.decode(x or []) for x in column.to_pylist()])
 
 
-def _mapped(df, rank_data, pattern, source, target, ddl, kind, f) -> DataFrame:
+def _mapped(df, rank_data, pattern, source, target, spark_type, kind, f) -> DataFrame:
     ranks = df.sparkSession.sparkContext.broadcast(rank_data)
     keep = [c for c in df.columns if c.lower() != target.lower() or c == source]
-    schema = df.select(*[f"`{c}`" for c in keep if c.lower() != target.lower()]).schema.add(target, ddl)
-    names = [x.name for x in schema][:-1]
+    own = [x for x in df.schema.fields if x.name.lower() != target.lower()]
+    schema = StructType([*own, StructField(target, spark_type)])
+    names = [x.name for x in own]
 
     def run(batches):
         codec = _codec(ranks.value, pattern)
