@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as scripts in browsers see it (beyond ASCII: no-break, ideographic, byte order mark and others).
 _SPACE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF\\x0B]"
@@ -14,7 +15,7 @@ _SPACE = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\
 JAPANESE = "[぀-ヿ㐀-䶿一-鿿ｦ-ﾟ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, one Arrow batch at a time."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

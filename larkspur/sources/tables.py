@@ -14,7 +14,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _schema(key: str, **columns) -> T.StructType:
+def _schema(key: str, /, **columns) -> T.StructType:
     """Columns named in `key` are not null; others may be."""
     keys = key.split()
     return T.StructType([T.StructField(n, t, n not in keys) for n, t in columns.items()])
