@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .listing import top_per_group
 from .temporal import close_pairs, micros
 
@@ -17,16 +18,16 @@ TOLERANCE = 2 * 86_400_000_000
 def connected(edges: DataFrame, max_steps: int = 60) -> DataFrame:
     """(id, component): least reachable id for links (a, b), by label spreading with shortcuts.
 
-    Every step is a join and a sum; lineage is cut by checkpoints.  The number of
+    Every step is a join and a sum; its result is written to the shared folder, which cuts lineage.  The number of
     steps grows with the logarithm of the longest chain.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("id"), "label").checkpoint()
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     for _ in range(max_steps):
         near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = label.join(near, "id").select("id", F.least("label", "near").alias("label"))
         jump = low.join(label.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"))
-        new = jump.checkpoint()
+        new = written(jump)
         changed = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         label = new
         if not changed:

@@ -165,7 +165,9 @@ def merged_recurrences(expanded: DataFrame, languages: list[str], separator: str
 
     A name falls back from the language to English to the base title.
     """
-    members = F.array_sort(F.collect_list(F.struct("sort_order", "id", "title_ja", "titles")))
+    # maps have no order, so the comparison is by the two leading fields
+    before = lambda a, b: F.when((a["sort_order"] < b["sort_order"]) | ((a["sort_order"] == b["sort_order"]) & (a["id"] < b["id"])), -1).when((a["sort_order"] == b["sort_order"]) & (a["id"] == b["id"]), 0).otherwise(1)
+    members = F.array_sort(F.collect_list(F.struct("sort_order", "id", "title_ja", "titles")), before)
     grouped = expanded.groupBy("at").agg(members.alias("_m"))
     names = [F.array_join(F.transform("_m", lambda m: F.coalesce(F.element_at(m["titles"], lang), F.element_at(m["titles"], "en"), m["title_ja"])), separator).alias(f"title_{lang}") for lang in languages]
     return grouped.select("at", F.transform("_m", lambda m: m["id"]).alias("members"), F.array_join(F.transform("_m", lambda m: m["title_ja"]), separator).alias("title_ja"), *names)

@@ -139,11 +139,11 @@ _RULES = [("daily", "FREQ=DAILY;BYHOUR=6", 1), ("weekly", "FREQ=WEEKLY;BYDAY=SU,
 
 @query("""
 with d as (select unnest(generate_series(timestamp '2026-01-20', timestamp '2026-05-20', interval 1 day)) as day),
-e as (select day + interval 6 hour as at, 1 as o, 'daily' as id from d
+e as (select day + interval 6 hour as "at", 1 as o, 'daily' as id from d
  union all select day + interval 6 hour, 2, 'weekly' from d where dayofweek(day) in (0, 3)
  union all select day + interval 6 hour, 3, 'month' from d where day(day) in (1, 10, 25)
  union all select day, 4, 'end' from d where day = last_day(day))
-select at, list(id order by o) as members, string_agg(upper(id), ' / ' order by o) as title_ja, string_agg(case when id = 'daily' then 'jour' when id = 'weekly' then 'week' else upper(id) end, ' / ' order by o) as title_fr from e group by at""")
+select "at", list(id order by o) as members, string_agg(upper(id), ' / ' order by o) as title_ja, string_agg(case when id = 'daily' then 'jour' when id = 'weekly' then 'week' else upper(id) end, ' / ' order by o) as title_fr from e group by 1""" )
 def recurrence_expand(spark, d):
     """Rules expanded over a window and merged by instant, with names in a language, its fallback and the base."""
     rules = spark.createDataFrame([(i, i.upper(), {"daily": {"fr": "jour", "en": "day"}, "weekly": {"en": "week"}}.get(i, {}), r, o) for i, r, o in _RULES], "id string, title_ja string, titles map<string,string>, rrule string, sort_order int")

@@ -1 +1,69 @@
-"""Pages: extraction from HTML and document trees."""
+"""Pages: extraction from HTML, document trees and their tables of nodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import tree as T
+from ..sources import html as H
+from ..sources.tables import load
+from .catalog import query
+
+
+def _trees(spark, d):
+    return load(spark, d, "pages").select("page_id", H.page_tree("html").alias("tree"))
+
+
+@query("""select page_id, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) as h from pages) group by page_id""")
+def page_links(spark, d):
+    """Number of links of each page that has any."""
+    return H.page_links(load(spark, d, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_title(spark, d):
+    return load(spark, d, "pages").select("page_id", H.page_title("html").alias("title"))
+
+
+@query()
+def page_blocks(spark, d):
+    """Block trees as JSON text."""
+    return _trees(spark, d)
+
+
+@query()
+def node_type_counts(spark, d):
+    nodes = T.node_table(_trees(spark, d), "page_id", "tree")
+    return nodes.groupBy("page_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("select page_id, true as valid, true as same from pages")
+def tree_roundtrip(spark, d):
+    """Trees to markup and back, strictly: nothing is lost on any page."""
+    trees = _trees(spark, d).withColumn("markup", T.markup_of("tree"))
+    back = T.tree_of("markup")
+    return trees.select("page_id", T.valid_tree("tree").alias("valid"), (T.markup_of(back) == F.col("markup")).alias("same"))
+
+
+@query()
+def attr_reconcile_report(spark, d):
+    """Types whose counts differ between trees and trees without their first block."""
+    trees = _trees(spark, d)
+    nodes = T.node_table(trees, "page_id", "tree")
+    return T.divergence(nodes, nodes.where("path[0] > 0"), "page_id")
+
+
+@query()
+def page_images(spark, d):
+    return _trees(spark, d).select("page_id", T.image_urls("tree").alias("images"))
+
+
+@query()
+def listed_items(spark, d):
+    """Items of list pages by the ids in their links."""
+    return H.listed_items(H.page_links(load(spark, d, "pages"), "page_id", "html"), "page_id", "^/([A-Za-z0-9]+)$")
+
+
+@query()
+def page_html(spark, d):
+    return _trees(spark, d).select("page_id", T.html_of("tree").alias("html"))

@@ -12,11 +12,11 @@ from .catalog import query
 
 
 @query("""
-select p_partkey, 'sched-' || lpad(to_hex(abs(case when h >= 2147483648 then h - 4294967296 else h end)), 8, '0') as id from (
+select p_partkey, 'sched-' || lpad(lower(to_hex(abs(case when h >= 2147483648 then h - 4294967296 else h end))), 8, '0') as id from (
   select p_partkey, list_reduce(list_prepend(0::bigint, list_transform(string_split(p_name, ''), lambda c: ascii(c)::bigint)), lambda a, c: (a * 31 + c) % 4294967296) as h from part)""")
 def hash_id(spark, d):
     """Stable ids from a 32-bit string hash."""
-    return load(spark, d, "part").select("p_partkey", F.lower(X.hash_id("sched-", F.col("p_name"))).alias("id"))
+    return load(spark, d, "part").select("p_partkey", X.hash_id("sched-", F.col("p_name")).alias("id"))
 
 
 @query("""
@@ -106,7 +106,7 @@ def fit_aspect(spark, d):
 
 
 @query("""
-select event_id, 3600 - (epoch(ts)::bigint % 3600) as to_hour, (case when hour(ts) < 6 then ts::date + 1 else ts::date end)::date as game_date,
+select event_id, 3600 - (floor(epoch(ts))::bigint % 3600) as to_hour, (case when hour(ts) < 6 then ts::date + 1 else ts::date end)::date as game_date,
   strftime(ts, '%Y-%m-%d') || ' (' || (['Mon','Tue','Wed','Thu','Fri','Sat','Sun'])[isodow(ts)] || ')' as published from events""")
 def date_parts(spark, d):
     ts = F.col("ts").cast("timestamp")
