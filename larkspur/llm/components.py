@@ -19,7 +19,7 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(_least(both))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 

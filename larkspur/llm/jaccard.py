@@ -5,32 +5,36 @@ documents by n-grams.  n-grams are ordered from rare to frequent (by a sketch of
 counts over all documents), and only a prefix of each row takes part in the first
 product: with threshold t, a row of n entries keeps n - ceil(t n) + 1, since two
 rows that link must share one of those.  The product accumulates overlaps within
-the prefixes; a pair whose overlap plus what may still follow lies below the
+the prefixes; n-grams that a sketch shows to occur once are left out; a pair whose overlap plus what may still follow lies below the
 bound given by its sizes is discarded.  The rest get their full overlap in blocks.
 
 Equal rows count once.  Before the product, each column with many entries is
-multiplied with one of its rows only, and rows found linked are merged: a group
-of near copies is one component by then, and no column yields its square.
+multiplied with one central row only, and rows found linked are
+merged: a group of near copies is mostly one component by then, and the product
+skips pairs inside a component, so no column of theirs yields its square.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sketch
 from .components import components
 from .shared import written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 3
 THRESHOLD = 90  # hundredths
-#: Columns with more entries are first multiplied with single rows.
+#: Columns with more entries are first multiplied with one of their rows.
 WIDE = 16
-STAR_ROUNDS = 2
-_CELL_BITS = 20
-_BLOCK_BITS = 14
+#: The sketch that orders n-grams has 2**24 cells (16 MB as levels); more data blur the order, never the result.
+_CELL_BITS = 24
+_BLOCK_BITS = 18
 _FILTER_BITS = 26
 
 
@@ -49,68 +53,109 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         names = ["doc_id", "n", "k1", "k2", "block", "counts"]
-        cells, of = np.zeros(1 << _CELL_BITS, np.int64), pa.int64()
+        cells, of = np.zeros(1 << _CELL_BITS, np.uint16), pa.int64()
         for batch in batches:
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for i, own in _rows(batch.column(1), k):
                 n[i] = len(own)
-                with np.errstate(over="ignore"):
-                    one[i] = np.sum(mix(own), dtype=U64).view(np.int64)
-                    two[i] = np.sum(mix(own ^ U64(0xA0761D6478BD642F)), dtype=U64).view(np.int64)
-                cells += np.bincount((own >> U64(64 - _CELL_BITS)).astype(np.int64), minlength=1 << _CELL_BITS) if len(own) > 1 << 16 else 0
-                if len(own) <= 1 << 16:
-                    np.add.at(cells, (own >> U64(64 - _CELL_BITS)).astype(np.int64), 1)
+                one[i] = np.sum(mix(own), dtype=U64).view(np.int64)
+                two[i] = np.sum(mix(own ^ U64(0xA0761D6478BD642F)), dtype=U64).view(np.int64)
+                at, more = np.unique((own >> U64(64 - _CELL_BITS)).astype(np.int64), return_counts=True)
+                cells[at] = np.minimum(cells[at] + more.astype(np.uint32), 65535)
             of = batch.column(0).type
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), none, pa.nulls(batch.num_rows, pa.binary())], names)
-        blocks = 1 << (_CELL_BITS - _BLOCK_BITS)
-        data = [part.astype(np.uint32).tobytes() for part in np.minimum(cells, 2**32 - 1).reshape(blocks, -1)]
-        no = pa.nulls(blocks, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(blocks, of), no, no, no, pa.array(range(blocks), pa.int32()), pa.array(data, pa.binary())], names)
+        width, no = 1 << _BLOCK_BITS, pa.nulls(1, pa.int64())
+        for block in range(1 << (_CELL_BITS - _BLOCK_BITS)):
+            part = cells[block * width : (block + 1) * width]
+            if part.any():
+                data = zlib.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, of), no, no, no, pa.array([block], pa.int32()), pa.array([data], pa.binary())], names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, block int, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
-    """Powers of two of the summed counts, one byte for each cell of the sketch (1 MB whatever the corpus)."""
+    """Powers of two of the summed counts, one byte for each cell of the sketch."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(counts.as_py(), np.uint32)
+                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint16)
                 sums[block] = sums.get(block, 0) + part.astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.ceil(np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["block", "levels"])
+        for block, x in sums.items():
+            level = np.ceil(np.log2(x + 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
 
     out = np.zeros(1 << _CELL_BITS, np.uint8)
-    for r in sketches.repartition("block").mapInArrow(run, "block int, levels binary").collect():
+    for r in sketches.repartition(64, "block").mapInArrow(run, "block int, levels binary").toLocalIterator():
         out[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
+def index_length(n, threshold: int):
+    """Entries of a row that must meet the prefix of any row of its size or more."""
+    return n - -(-2 * threshold * n // (100 + threshold)) + 1
+
+
 def _prefixes(docs: DataFrame, levels, k: int, threshold: int) -> DataFrame:
-    """(doc_id, n, p, last, grams): the rarest p of n n-grams, and the order key of the last of them."""
+    """(doc_id, n, p, last, index_last, grams): the rarest p of n n-grams in order, and order keys of the last ones."""
 
     def run(batches):
-        level = levels.value.astype(U64)
+        level = levels.value
         for batch in batches:
-            at, n, p, last, grams = [], [], [], [], []
+            at, n, p, last, index_last, grams = [], [], [], [], [], []
             for i, own in _rows(batch.column(1), k):
                 if not len(own):
                     continue
-                keys = (level[(own >> U64(64 - _CELL_BITS)).astype(np.int64)] << U64(56)) | (mix(own) >> U64(8))
+                keys = (level[(own >> U64(64 - _CELL_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (mix(own) >> U64(8))
                 order = np.argsort(keys, kind="stable")
                 most = len(own) - -(-threshold * len(own) // 100) + 1
                 at.append(i)
                 n.append(len(own))
                 p.append(most)
                 last.append(int(keys[order[most - 1]]))
+                index_last.append(int(keys[order[index_length(len(own), threshold) - 1]]))
                 grams.append(own[order[:most]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(last, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "p", "last", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (n, p, last, index_last)), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "p", "last", "index_last", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, p long, last long, grams array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, p long, last long, index_last long, grams array<long>")
+
+
+def _entries(first: DataFrame, threshold: int) -> DataFrame:
+    """(gram, node, n, p, last, index_last, alone, at): prefix entries whose n-gram may occur in another row.
+
+    `alone` counts the n-grams of a prefix that certainly occur in no other row; a
+    row with so many that no row can link with it is left out.
+    """
+    total = first.agg(F.sum("p")).first()[0] or 0
+    bits = sketch.bits_for(total, 4)
+
+    def keys_of(batch):
+        yield batch.column(0).combine_chunks().flatten().to_numpy().view(U64) if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0).flatten().to_numpy().view(U64)
+
+    often = first.sparkSession.sparkContext.broadcast(sketch.repeated_cells(first.select("grams"), keys_of, bits))
+
+    def run(batches):
+        names = ["gram", "node", "n", "p", "last", "index_last", "alone", "at"]
+        for batch in batches:
+            columns = [np.asarray(batch.column(k)) for k in range(5)]
+            grams = batch.column(5).flatten().to_numpy()
+            lengths = batch.column(5).value_lengths().to_numpy()
+            keep = sketch.may_repeat(often.value, grams.view(U64), bits)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            alone = lengths - np.bincount(row[keep], minlength=batch.num_rows)
+            n = columns[1]
+            keep &= (100 * (n - alone) >= threshold * n)[row]
+            row, at, grams = row[keep], at[keep], grams[keep]
+            for a in range(0, len(row), 1 << 18):
+                r = row[a : a + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 18)]), *(pa.array(c[r]) for c in columns), pa.array(alone[r].astype(np.int64)), pa.array(at[a : a + (1 << 18)].astype(np.int64))], names)
+
+    return first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", "index_last", "grams").mapInArrow(run, "gram long, node long, n long, p long, last long, index_last long, alone long, at long")
 
 
 def _member_filter(ids: DataFrame) -> np.ndarray:
@@ -193,40 +238,34 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
 
     # the first product: prefixes only, each different row once
     rows = _prefixes(docs.where("doc_id is not null"), levels, k, threshold)
-    first = rows.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", F.explode("grams").alias("gram"))
-    entries = written(entries)
-    shared = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("n", "node")).alias("least"), F.max(F.struct("n", "node")).alias("most")).where("size > 1")
-    shared = written(shared)
-    entries = written(entries.join(shared.select("gram", "size"), "gram"))
-
-    # wide columns: multiply with one row, merge what links
-    label = None
-    links = []
-    for star in range(STAR_ROUNDS):
-        hub = shared.where(F.col("size") > WIDE).select("gram", F.col("least" if star % 2 == 0 else "most")["node"].alias("a"), F.col("least" if star % 2 == 0 else "most")["n"].alias("na"))
-        stars = entries.where(F.col("size") > WIDE).select("gram", F.col("node").alias("b"), F.col("n").alias("nb")).join(hub, "gram").where((F.col("a") != F.col("b")) & _sized("na", "nb", threshold)).select("a", "b").distinct()
-        if label is not None:
-            stars = _across(stars, label)
-        links.append(written(_verified(stars, docs, k, threshold)))
-        label = written(components(_union(links)))
-
-    # columns that still hold several components: all pairs across them
+    first = written(rows.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    entries = written(_entries(first, threshold))
+
+    # wide columns: multiply with their row of fewest lone n-grams, merge what links
+    hubs = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("alone", "n", "node")).alias("hub")).where(F.col("size") > WIDE)
+    hubs = written(hubs.select("gram", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.alone").alias("ua")))
+    stars = entries.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub")).join(hubs, "gram")
+    stars = stars.where((F.col("a") != F.col("b")) & _possible("na", "ua", "nb", "ub", threshold)).select("a", "b").distinct()
+    links = [written(_verified(stars, docs, k, threshold))]
+    label = written(components(links[0]))
+
+    # columns that still hold several components: all pairs across them, the shorter row by its index prefix
     labelled = written(entries.join(label.withColumnsRenamed({"id": "node"}), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    parts = written(parts)
-    several = written(parts.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram"))
-    parts = parts.join(several, "gram").select("gram", "component")
-    parts = written(parts)
-    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "gram").where("ca < cb")
-    one = labelled.select("gram", F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("last").alias("lx"))
-    two = labelled.select("gram", F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("last").alias("ly"))
-    pairs = across.join(one, ["gram", "ca"]).join(two, ["gram", "cb"]).where(_sized("nx", "ny", threshold))
-    need = F.ceil(F.lit(threshold) * (F.col("nx") + F.col("ny")) / F.lit(100 + threshold) - 1e-9)
-    rest = F.when(F.col("lx") <= F.col("ly"), F.col("nx") - F.col("px")).otherwise(F.col("ny") - F.col("py"))
-    pairs = pairs.groupBy("x", "y", "nx", "ny", "px", "py", "lx", "ly").agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= need)
-    links.append(written(_verified(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), docs, k, threshold)))
-    label = written(components(_union(links)))
+    parts = labelled.select("gram", "component").distinct()
+    several = parts.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram")
+    parts = written(parts.join(several, "gram"))
+    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "gram").where("ca <> cb")
+    renamed = lambda c, s: labelled.select("gram", F.col("component").alias(c), *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "p", "last", "index_last", "alone", "at")])
+    one = renamed("ca", "x").withColumn("p_x", F.col("n_x") - F.ceil(F.lit(2 * threshold) * F.col("n_x") / F.lit(100 + threshold) - 1e-9) + 1).where("at_x < p_x")
+    two = renamed("cb", "y")
+    need = F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
+    shorter = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    ahead = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    pairs = across.join(one, ["gram", "ca"]).join(two, ["gram", "cb"]).where(shorter & _possible("n_x", "alone_x", "n_y", "alone_y", threshold) & (ahead >= need))
+    rest = F.when(F.col("index_last_x") <= F.col("last_y"), F.col("n_x") - F.col("p_x")).otherwise(F.col("n_y") - F.col("p_y"))
+    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "p_x", "p_y", "index_last_x", "last_y").agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= need)
+    links.append(written(_verified(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), docs, k, threshold)))
+    label = written(components(links[0].unionByName(links[1])))
 
     of_set = written(same.join(label.withColumnsRenamed({"id": "node"}), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
     rest = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"))
@@ -234,22 +273,10 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     return joined.unionByName(rest)
 
 
-def _sized(a: str, b: str, threshold: int):
-    """The sizes alone allow the threshold."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold)
-
-
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose sides are not in one component yet."""
-    one, two = label.withColumnsRenamed({"id": "a", "component": "ca"}), label.withColumnsRenamed({"id": "b", "component": "cb"})
-    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _possible(n: str, alone: str, m: str, others: str, threshold: int):
+    """The sizes, less n-grams that occur nowhere else, allow the threshold."""
+    need = F.ceil(F.lit(threshold) * (F.col(n) + F.col(m)) / F.lit(100 + threshold) - 1e-9)
+    return F.least(F.col(n) - F.col(alone), F.col(m) - F.col(others)) >= need
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
