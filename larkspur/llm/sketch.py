@@ -21,7 +21,7 @@ MIN_BITS, MAX_BITS = 20, 28
 _BLOCK_BITS = 18
 #: Keys that a task gathers before it emits counters; bounds its memory.
 STRETCH = 3 << 20
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0xC2B2AE3D27D4EB4F)
 
 
 def bits_for(keys: int, room: int = 2) -> int:
@@ -50,11 +50,11 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(raw, dtype=np.int64)[ends] + np.arange(len(ends))
 
 
-def _counters(keys: np.ndarray, bits: int) -> pa.RecordBatch:
+def _counters(keys: np.ndarray, bits: int, depth: int) -> pa.RecordBatch:
     width = 1 << min(bits, _BLOCK_BITS)
     rows, blocks, once, more = [], [], [], []
     edges = np.arange(0, (1 << bits) + 1, width)
-    for row in range(ROWS):
+    for row in range(depth):
         own = np.sort(cells(keys, row, bits))
         new = np.r_[True, own[1:] != own[:-1]]
         unique = own[new]
@@ -68,8 +68,8 @@ def _counters(keys: np.ndarray, bits: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["cell_row", "block", "once", "more"])
 
 
-def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """ROWS arrays of packed bits: may the counter be 2 or more?  keys_of gives the keys of a batch of df, in parts."""
+def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = ROWS) -> np.ndarray:
+    """`depth` arrays of packed bits: may the counter be 2 or more?  keys_of gives the keys of a batch of df, in parts."""
     width = 1 << min(bits, _BLOCK_BITS)
 
     def count(batches):
@@ -79,10 +79,10 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
                 held.append(keys)
                 n += len(keys)
                 if n >= STRETCH:
-                    yield _counters(np.concatenate(held), bits)
+                    yield _counters(np.concatenate(held), bits, depth)
                     held, n = [], 0
         if n:
-            yield _counters(np.concatenate(held), bits)
+            yield _counters(np.concatenate(held), bits, depth)
 
     def merge(batches):
         seen: dict[tuple, np.ndarray] = {}
@@ -98,16 +98,16 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
     parts = 1 << max(0, min(8, bits - _BLOCK_BITS))
     counters = df.mapInArrow(count, "cell_row int, block int, once binary, more binary")
     merged = counters.repartition(parts, "cell_row", "block").mapInArrow(merge, "cell_row int, block int, bits binary")
-    out = np.zeros((ROWS, (1 << bits) // width, width // 8), np.uint8)
+    out = np.zeros((depth, (1 << bits) // width, width // 8), np.uint8)
     for r in merged.toLocalIterator():
         out[r["cell_row"], r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(ROWS, -1)
+    return out.reshape(depth, -1)
 
 
 def may_repeat(often: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """False only for keys that occur once."""
     keep = np.ones(len(keys), bool)
-    for row in range(ROWS):
+    for row in range(len(often)):
         c = cells(keys, row, bits)
         keep &= (often[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return keep

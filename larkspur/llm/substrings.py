@@ -9,6 +9,10 @@ Second pass: only windows estimated to repeat are grouped by an exact 128-bit
 key.  A task groups its own stretch of windows at once: repeats inside the stretch
 are decided there, and only the first of each key goes on, so a window found in a
 third of all documents sends one row for each stretch, not one for each document.
+
+Exact copies of a whole text need no windows: every window of a later copy also
+starts in the first one.  A sketch of text hashes finds texts that may have copies;
+only those meet by hash, and only first copies are cut into windows.
 """
 
 from __future__ import annotations
@@ -20,23 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sketch
 from .shared import written
 from .words import U64, mix, runs_of, text_chunks, word_hashes
 
 WINDOW = 20
-ROWS = 2
-#: Counters of a row: the power of two at or above twice the windows, within these bounds (32 MB of bits at most).
-MIN_BITS, MAX_BITS = 20, 28
-_BLOCK_BITS = 18
-#: Windows that a task gathers before it emits counters or keys; bounds its memory.
-STRETCH = 3 << 20
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D)
+#: Rows of the sketch of windows.
+DEPTH = 3
+_SLICE = 1 << 18
 
 
 def _windows(column: pa.Array, k: int):
-    """(first row, word positions of texts, starts of words, text buffer, offsets, valid window positions, their keys) in chunks."""
+    """(first row, word positions of texts, valid window positions, two keys of each) in chunks."""
     for lo, _, data, offsets in text_chunks(column):
-        words, starts, first = word_hashes(data, offsets)
+        words, _, first = word_hashes(data, offsets)
         raw = runs_of(words, k, 0xD1342543DE82EF95)
         ends = np.repeat(first[1:], np.diff(first))[: len(raw)]
         at = np.flatnonzero(np.arange(len(raw)) + k <= ends)
@@ -44,164 +45,108 @@ def _windows(column: pa.Array, k: int):
         yield lo, first, at, mix(raw[at]), mix(other[at])
 
 
-def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((keys * U64(_ODD[row])) >> U64(64 - bits)).astype(np.int64)
-
-
-def pack_sorted(cells: np.ndarray) -> bytes:
-    """Strictly increasing numbers as gaps: a byte each, 255 standing for 255 more to come."""
-    if not len(cells):
-        return b""
-    gaps = np.diff(cells, prepend=-1) - 1
-    at = np.cumsum(gaps // 255 + 1) - 1
-    out = np.full(at[-1] + 1, 255, np.uint8)
-    out[at] = gaps % 255
-    return out.tobytes()
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(raw < 255)
-    return np.cumsum(raw, dtype=np.int64)[ends] + np.arange(len(ends))
-
-
-def count_windows(docs: DataFrame, bits: int, k: int = WINDOW) -> DataFrame:
-    """(cell_row, block, once, more): packed counters that are at least 1 and at least 2, by task stretch."""
-    width = 1 << min(bits, _BLOCK_BITS)
-
-    def counters(keys):
-        rows, blocks, once, more = [], [], [], []
-        for row in range(ROWS):
-            cells = np.sort(_cells(keys, row, bits))
-            new = np.r_[True, cells[1:] != cells[:-1]]
-            unique = cells[new]
-            twice = unique[np.diff(np.r_[np.flatnonzero(new), len(cells)]) > 1]
-            edges = np.arange(0, (1 << bits) + 1, width)
-            a, b = np.searchsorted(unique, edges), np.searchsorted(twice, edges)
-            for block in np.flatnonzero(np.diff(a)).tolist():
-                rows.append(row)
-                blocks.append(block)
-                once.append(pack_sorted(unique[a[block] : a[block + 1]] - block * width))
-                more.append(pack_sorted(twice[b[block] : b[block + 1]] - block * width))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["cell_row", "block", "once", "more"])
+def split_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs without later copies of equal texts, later copies (doc, text_key)) for docs (doc, text, text_key).
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for *_, keys, _ in _windows(batch.column(0), k):
-                held.append(keys)
-                n += len(keys)
-                if n >= STRETCH:
-                    yield counters(np.concatenate(held))
-                    held, n = [], 0
-        if n:
-            yield counters(np.concatenate(held))
-
-    return docs.select("text").mapInArrow(run, "cell_row int, block int, once binary, more binary")
+    Texts whose hash occurs once by the sketch stay where they are; the others meet
+    by hash and checksum.  Rows of the least doc of a text all stay.
+    """
+    n = docs.count()
+    bits = sketch.bits_for(n, 8)
+    often = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(docs.select("text_key"), lambda b: iter([np.asarray(b.column(0)).view(U64)]), bits))
 
+    def some(copies: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(sketch.may_repeat(often.value, np.asarray(batch.column(2)).view(U64), bits) == copies))
 
-def merged_counters(counters: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each counter: whether it may be 2 or more.  At most ROWS * 32 MB, whatever the corpus."""
-    width = 1 << min(bits, _BLOCK_BITS)
+        return docs.mapInArrow(run, docs.schema)
 
-    def run(batches):
-        seen: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for row, block, once, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                held = seen.setdefault((row, block), np.zeros(width, np.uint8))
-                at = unpack_sorted(once.as_py())
-                held[at] = np.minimum(held[at] + 1, 2)
-                held[unpack_sorted(more.as_py())] = 2
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([np.packbits(v > 1).tobytes() for v in seen.values()], pa.binary())], ["cell_row", "block", "bits"])
-
-    parts = 1 << max(0, min(8, bits - _BLOCK_BITS))
-    merged = counters.repartition(parts, "cell_row", "block").mapInArrow(run, "cell_row int, block int, bits binary")
-    out = np.zeros((ROWS, (1 << bits) // width, width // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        out[r["cell_row"], r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(ROWS, -1)
+    shared = written(some(True))
+    firsts = written(shared.groupBy("text_key", F.md5("text").alias("sum")).agg(F.min("doc").alias("first")))
+    marked = shared.withColumn("sum", F.md5("text"))
+    head = marked.join(firsts.withColumnRenamed("first", "doc"), ["text_key", "sum", "doc"], "left_semi").select("doc", "text", "text_key")
+    later = marked.select("doc", "text_key", "sum").join(firsts, ["text_key", "sum"]).where(F.col("doc") > F.col("first")).select("doc", "text_key").distinct()
+    return some(False).unionByName(written(head)), written(later)
 
 
 def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, start): windows of docs (doc_id, text, text_key) whose words also start earlier.
+    """(doc, text_key, start): windows of docs (doc, text, text_key) whose words also start earlier.
 
-    Earlier means a smaller doc_id (null first), or the same one and an earlier word.
+    Earlier means a smaller doc, or the same one and an earlier word.
     """
-    words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(2 * words // 6).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(merged_counters(count_windows(docs, bits, k), bits))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = sketch.bits_for(chars // 6)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(docs.select("text"), lambda b: (keys for *_, keys, _ in _windows(b.column(0), k)), bits, DEPTH))
 
     def run(batches):
-        often = shared.value
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            docs_of = np.asarray(batch.column(0))
-            keys_of = np.asarray(batch.column(2))
+            docs_of, keys_of = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for lo, first, at, one, two in _windows(batch.column(1), k):
-                keep = np.ones(len(one), bool)
-                for row in range(ROWS):
-                    cells = _cells(one, row, bits)
-                    keep &= (often[row][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+                keep = sketch.may_repeat(shared.value, one, bits)
                 at, one, two = at[keep], one[keep], two[keep]
                 owner = np.searchsorted(first, at, "right") - 1
                 held.append((docs_of[lo + owner], keys_of[lo + owner], (at - first[owner]).astype(np.int32), one.view(np.int64), two.view(np.int64)))
                 n += len(at)
-                if n >= STRETCH:
-                    yield decided(held)
+                if n >= sketch.STRETCH:
+                    yield from decided(held)
                     held, n = [], 0
         if n:
-            yield decided(held)
+            yield from decided(held)
 
     def decided(held):
-        """Firsts of each key in the stretch with their keys; later ones without, as they are decided."""
+        """Firsts of each key in the stretch; later ones are decided, and only pass through under keys of their own."""
         doc, text, start, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, doc, two, one))
         doc, text, start, one, two = (x[order] for x in (doc, text, start, one, two))
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        first = (doc == doc[head]) & (start == start[head])
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(start), pa.array(one, mask=~first), pa.array(two, mask=~first)], ["doc", "text_key", "start", "one", "two"])
+        later = (doc != doc[head]) | (start != start[head])
+        one = np.where(later, mix(doc.view(U64) + start.astype(U64)).view(np.int64), one)
+        for a in range(0, len(doc), _SLICE):
+            s = slice(a, a + _SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(text[s]), pa.array(start[s]), pa.array(one[s]), pa.array(two[s], mask=later[s])], ["doc", "text_key", "start", "one", "two"])
 
     found = docs.select("doc", "text", "text_key").mapInArrow(run, "doc long, text_key long, start int, one long, two long")
-    found = written(found)
-    later = found.where("one is not null").withColumn("place", F.rank().over(Window.partitionBy("one", "two").orderBy("doc", "start"))).where("place > 1")
-    return found.where("one is null").select("doc", "text_key", "start").unionByName(later.select("doc", "text_key", "start"))
+    place = F.rank().over(Window.partitionBy("one", "two").orderBy("doc", "start"))
+    return found.withColumn("place", place).where("two is null or place > 1").select("doc", "text_key", "start")
 
 
 def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, for docs (doc_id, text).
 
-    Null text: no words.  Rows that share a doc_id are one place in the order: no
-    start is earlier than an equal one, so exactly repeated rows keep what they
-    hold alone.  Texts of fewer than k words stay whole.  An empty table gives an
-    empty result.
+    Null text: no words.  A null doc_id comes before all others.  Rows that share a
+    doc_id are one place in the order: no start is earlier than an equal one, so
+    exactly repeated rows keep what they hold alone.  Texts of fewer than k words
+    stay whole.  An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-    starts = repeated_starts(keyed, k).groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
-    joined = keyed.join(written(starts), ["doc", "text_key"], "left").select("doc_id", "text", "starts")
+    single, copies = split_copies(keyed.select("doc", "text", "text_key"))
+    starts = repeated_starts(single, k).groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
+    gone = starts.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "text_key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    joined = keyed.join(written(gone), ["doc", "text_key"], "left").select("doc_id", "text", "starts", "whole")
 
     def run(batches):
         for batch in batches:
             count, removed, digest = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2)):
-                words = text.as_py().encode().split()
-                if starts.is_valid:
+            for text, starts, whole in zip(batch.column(1), batch.column(2), batch.column(3)):
+                words = kept = text.as_py().encode().split()
+                if whole.as_py() and len(words) >= k:
+                    kept = []
+                elif starts.is_valid:
                     at = starts.values.to_numpy()
                     steps = np.zeros(len(words) + 1, np.int32)
                     np.add.at(steps, at, 1)
                     np.add.at(steps, at + k, -1)
-                    kept = np.flatnonzero(np.cumsum(steps[:-1]) == 0)
-                    kept_words = [words[i] for i in kept.tolist()]
-                else:
-                    kept_words = words
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
                 count.append(len(words))
-                removed.append(len(words) - len(kept_words))
-                digest.append(hashlib.sha256(b" ".join(kept_words)).hexdigest())
+                removed.append(len(words) - len(kept))
+                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from larkspur.llm import automaton, bpe, decontaminate, secrets, substrings, toxicity
+from larkspur.llm import automaton, bpe, decontaminate, secrets, sketch, substrings, toxicity
 from tests.llm.conftest import SCHEMA, passage
 
 
@@ -126,7 +126,7 @@ def test_packed_counters():
     import numpy as np
 
     cells = np.unique(np.random.default_rng(1).integers(0, 1 << 18, 3000))
-    assert (substrings.unpack_sorted(substrings.pack_sorted(cells)) == cells).all()
+    assert (sketch.unpack_sorted(sketch.pack_sorted(cells)) == cells).all()
 
 
 def _contains(text, item, k=5):
