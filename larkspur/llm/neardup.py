@@ -36,6 +36,7 @@ NEAREST = 40
 RANDOM = 16
 ALPHA = 1.2
 BEAM = 32
+QUERY_BLOCK = 128
 AUDIT_SAMPLE = 200
 AUDIT_RECALL = 0.95
 AUDIT_TRIES = 3
@@ -119,53 +120,60 @@ def range_search(x: np.ndarray, lists: np.ndarray, cosine: float) -> tuple[np.nd
     """(query, found) for every row as a query: greedy beam search from the medoid, then widened in range.
 
     lists: n x d neighbours.  A node is found if its cosine is at least a little
-    below the range; the caller verifies.
+    below the range; the caller verifies.  Queries run in blocks, which bounds memory.
     """
+    x = x.astype(np.float32)
     n = len(x)
-    low = cosine - 1e-6
+    links = np.zeros((n, n), np.float32)
+    links[np.repeat(np.arange(n), lists.shape[1]), lists.ravel()] = 1
     medoid = int(np.argmax(x @ x.mean(0)))
-    queries = np.arange(n)
+    found = [_searched(x, lists, links, medoid, np.arange(a, min(n, a + QUERY_BLOCK)), cosine - 1e-4) for a in range(0, n, QUERY_BLOCK)]
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _searched(x, lists, links, medoid: int, queries: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    n, m = len(x), len(queries)
+    q = x[queries]
     beam = min(BEAM, n)
-    ids = np.full((n, beam), -1)
-    sims = np.full((n, beam), -3.0)
-    done = np.ones((n, beam), bool)
-    ids[:, 0], sims[:, 0], done[:, 0] = medoid, x @ x[medoid], False
-    seen = np.zeros((n, n), bool)
+    ids = np.full((m, beam), -1)
+    sims = np.full((m, beam), -3.0, np.float32)
+    done = np.ones((m, beam), bool)
+    ids[:, 0], sims[:, 0], done[:, 0] = medoid, q @ x[medoid], False
+    seen = np.zeros((m, n), bool)
     seen[:, medoid] = True
-    active = queries
+    active = np.arange(m)
     while len(active):
         order = np.argmax(np.where(done[active], -4.0, sims[active]), 1)
         node = ids[active, order]
         done[active, order] = True
         nb = lists[node]
         new = ~seen[active[:, None], nb]
+        # lists are padded with the row itself, which is seen already
         seen[active[:, None], nb] = True
-        s = np.where(new, np.einsum("qd,qkd->qk", x[active], x[nb]), -3.0)
-        # a list may name a node twice; only its first place counts
+        s = np.where(new, np.matmul(x[nb], q[active][:, :, None])[:, :, 0], -3.0)
         all_ids, all_sims = np.c_[ids[active], np.where(new, nb, -1)], np.c_[sims[active], s]
         all_done = np.c_[done[active], ~new]
         top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[active], sims[active], done[active] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
         active = active[~done[active].all(1)]
-    found = np.zeros((n, n), bool)
-    q, b = np.nonzero((sims >= low) & (ids >= 0))
-    found[q, ids[q, b]] = True
+    found = np.zeros((m, n), bool)
+    r, b = np.nonzero((sims >= low) & (ids >= 0))
+    found[r, ids[r, b]] = True
     frontier = found.copy()
-    links = np.zeros((n, n), np.float32)
-    links[np.repeat(queries, lists.shape[1]), lists.ravel()] = 1
     live = np.flatnonzero(frontier.any(1))
     while len(live):
         near = (frontier[live].astype(np.float32) @ links > 0) & ~found[live]
         frontier[live] = False
         r, v = np.nonzero(near)
         good = np.zeros(len(r), bool)
-        for a in range(0, len(r), 1 << 18):
-            good[a : a + (1 << 18)] = np.einsum("pd,pd->p", x[live[r[a : a + (1 << 18)]]], x[v[a : a + (1 << 18)]]) >= low
+        for a in range(0, len(r), 1 << 16):
+            good[a : a + (1 << 16)] = np.einsum("pd,pd->p", q[live[r[a : a + (1 << 16)]]], x[v[a : a + (1 << 16)]]) >= low
         found[live[r[good]], v[good]] = True
         frontier[live[r[good]], v[good]] = True
         live = live[frontier[live].any(1)]
-    np.fill_diagonal(found, False)
-    return np.nonzero(found)
+    found[np.arange(m), queries] = False
+    r, v = np.nonzero(found)
+    return queries[r], v
 
 
 def _dealt(reps: DataFrame, centroids, width: int, overlap: int) -> DataFrame:
