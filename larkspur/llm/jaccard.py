@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .shared import written
+from .shared import bounded_batches, written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 3
@@ -229,6 +229,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     that share a doc_id count as one document; rows with a null doc_id link with
     nothing and have a null component.  Repeated rows repeat.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = written(_sets(docs, k))
     sets = found.where("block is null").select("doc_id", "n", "k1", "k2")

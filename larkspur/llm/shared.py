@@ -1,5 +1,15 @@
-"""Tables in the shared folder, under the name that the operators here use."""
+"""Tables in the shared folder, under the name that the operators here use, and bounds for Python workers."""
+
+from pyspark.sql import SparkSession
 
 from ..sources.shared import shared_folder, written
 
-__all__ = ["shared_folder", "written"]
+__all__ = ["bounded_batches", "shared_folder", "written"]
+
+#: Arrow batches to and from Python workers, in bytes; a longer text makes a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session small: numpy works on chunks of a few MB anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -20,7 +20,7 @@ ROWS = 2
 MIN_BITS, MAX_BITS = 20, 28
 _BLOCK_BITS = 18
 #: Keys that a task gathers before it emits counters; bounds its memory.
-STRETCH = 3 << 20
+STRETCH = 1 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0xC2B2AE3D27D4EB4F)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import written
+from .shared import bounded_batches, written
 from .words import U64, mix, runs_of, text_chunks, word_hashes
 
 WINDOW = 20
@@ -122,6 +122,7 @@ def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     exactly repeated rows keep what they hold alone.  Texts of fewer than k words
     stay whole.  An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))

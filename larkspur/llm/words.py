@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
-_SLICE = 1 << 20
+CHUNK_BYTES = 2 << 20
+_SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
