@@ -103,13 +103,12 @@ def _prefixes(docs: DataFrame, levels, k: int, threshold: int) -> DataFrame:
     """(doc_id, n, p, last, index_last, grams): the rarest p of n n-grams in order, and order keys of the last ones."""
 
     def run(batches):
-        level = levels.value
         for batch in batches:
             at, n, p, last, index_last, grams = [], [], [], [], [], []
             for i, own in _rows(batch.column(1), k):
                 if not len(own):
                     continue
-                keys = (level[(own >> U64(64 - _CELL_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (mix(own) >> U64(8))
+                keys = _keys(levels.value, own)
                 order = np.argsort(keys, kind="stable")
                 most = len(own) - -(-threshold * len(own) // 100) + 1
                 at.append(i)
@@ -124,22 +123,30 @@ def _prefixes(docs: DataFrame, levels, k: int, threshold: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n long, p long, last long, index_last long, grams array<long>")
 
 
-def _entries(first: DataFrame, threshold: int) -> DataFrame:
-    """(gram, node, n, p, last, index_last, alone, at): prefix entries whose n-gram may occur in another row.
+def _keys(level: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The order of n-grams: by the level of their cell, then by hash."""
+    return (level[(grams >> U64(64 - _CELL_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (mix(grams) >> U64(8))
 
-    `alone` counts the n-grams of a prefix that certainly occur in no other row; a
-    row with so many that no row can link with it is left out.
+
+_ENTRY = ("gram", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")
+
+
+def _entries(first: DataFrame, levels) -> DataFrame:
+    """Prefix entries whose n-gram may occur in another prefix, with their place in the row's order.
+
+    `alone` counts the n-grams of a prefix that certainly occur in no other prefix,
+    `alone_last` is the order key of the last of them: a row whose prefix reaches
+    that far has none of them at all.
     """
     total = first.agg(F.sum("p")).first()[0] or 0
     bits = sketch.bits_for(total, 4)
 
     def keys_of(batch):
-        yield batch.column(0).combine_chunks().flatten().to_numpy().view(U64) if isinstance(batch.column(0), pa.ChunkedArray) else batch.column(0).flatten().to_numpy().view(U64)
+        yield batch.column(0).flatten().to_numpy().view(U64)
 
     often = first.sparkSession.sparkContext.broadcast(sketch.repeated_cells(first.select("grams"), keys_of, bits))
 
     def run(batches):
-        names = ["gram", "node", "n", "p", "last", "index_last", "alone", "at"]
         for batch in batches:
             columns = [np.asarray(batch.column(k)) for k in range(5)]
             grams = batch.column(5).flatten().to_numpy()
@@ -147,15 +154,16 @@ def _entries(first: DataFrame, threshold: int) -> DataFrame:
             keep = sketch.may_repeat(often.value, grams.view(U64), bits)
             row = np.repeat(np.arange(batch.num_rows), lengths)
             at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            alone = lengths - np.bincount(row[keep], minlength=batch.num_rows)
-            n = columns[1]
-            keep &= (100 * (n - alone) >= threshold * n)[row]
+            alone = np.bincount(row[~keep], minlength=batch.num_rows)
+            alone_last = np.zeros(batch.num_rows, np.int64)
+            np.maximum.at(alone_last, row[~keep], _keys(levels.value, grams.view(U64)[~keep]).view(np.int64))
             row, at, grams = row[keep], at[keep], grams[keep]
             for a in range(0, len(row), 1 << 18):
                 r = row[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 18)]), *(pa.array(c[r]) for c in columns), pa.array(alone[r].astype(np.int64)), pa.array(at[a : a + (1 << 18)].astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 18)]), *(pa.array(c[r].astype(np.int64)) for c in (*columns, alone, alone_last)), pa.array(at[a : a + (1 << 18)].astype(np.int64))], _ENTRY)
 
-    return first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", "index_last", "grams").mapInArrow(run, "gram long, node long, n long, p long, last long, index_last long, alone long, at long")
+    rows = first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", "index_last", "grams")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _ENTRY))
 
 
 def _member_filter(ids: DataFrame) -> np.ndarray:
@@ -240,29 +248,32 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     # the first product: prefixes only, each different row once
     rows = _prefixes(docs.where("doc_id is not null"), levels, k, threshold)
     first = written(rows.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    entries = written(_entries(first, threshold))
+    entries = written(_entries(first, levels))
 
     # wide columns: multiply with their row of fewest lone n-grams, merge what links
-    hubs = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("alone", "n", "node")).alias("hub")).where(F.col("size") > WIDE)
-    hubs = written(hubs.select("gram", F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("hub.alone").alias("ua")))
-    stars = entries.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("alone").alias("ub")).join(hubs, "gram")
-    stars = stars.where((F.col("a") != F.col("b")) & _possible("na", "ua", "nb", "ub", threshold)).select("a", "b").distinct()
+    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "last", "alone", "alone_last")]
+    hubs = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("alone", "n", "node", "last", "alone_last")).alias("hub")).where(F.col("size") > WIDE)
+    hubs = written(hubs.select("gram", "hub.*").select("gram", *side("x")))
+    stars = entries.select("gram", *side("y")).join(hubs, "gram").where((F.col("node_x") != F.col("node_y")) & _possible(threshold))
+    stars = stars.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     links = [written(_verified(stars, docs, k, threshold))]
     label = written(components(links[0]))
 
-    # columns that still hold several components: all pairs across them, the shorter row by its index prefix
+    # columns that still hold several components: all pairs across them, the shorter row by its index prefix.
+    # No pair lies in the largest component of a column, so one side is always outside it.
     labelled = written(entries.join(label.withColumnsRenamed({"id": "node"}), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    parts = labelled.select("gram", "component").distinct()
-    several = parts.groupBy("gram").agg(F.count("*").alias("parts")).where("parts > 1").select("gram")
-    parts = written(parts.join(several, "gram"))
-    across = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "gram").where("ca <> cb")
-    renamed = lambda c, s: labelled.select("gram", F.col("component").alias(c), *[F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "p", "last", "index_last", "alone", "at")])
-    one = renamed("ca", "x").withColumn("p_x", F.col("n_x") - F.ceil(F.lit(2 * threshold) * F.col("n_x") / F.lit(100 + threshold) - 1e-9) + 1).where("at_x < p_x")
-    two = renamed("cb", "y")
+    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
+    several = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest")).where("parts > 1")
+    several = written(several.select("gram", F.col("largest.component").alias("largest")))
+    labelled = written(labelled.join(several, "gram").withColumn("inside", F.col("component") == F.col("largest")).drop("largest"))
+    renamed = lambda s: labelled.select("gram", *[F.col(x).alias(f"{x}_{s}") for x in ("component", "inside", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")])
+    one = renamed("x").withColumn("p_x", F.col("n_x") - F.ceil(F.lit(2 * threshold) * F.col("n_x") / F.lit(100 + threshold) - 1e-9) + 1).where("at_x < p_x")
+    two = renamed("y")
     need = F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
     shorter = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     ahead = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    pairs = across.join(one, ["gram", "ca"]).join(two, ["gram", "cb"]).where(shorter & _possible("n_x", "alone_x", "n_y", "alone_y", threshold) & (ahead >= need))
+    fits = shorter & (F.col("component_x") != F.col("component_y")) & _possible(threshold) & (ahead >= need)
+    pairs = one.where("not inside_x").join(two, "gram").where(fits).unionByName(one.where("inside_x").join(two.where("not inside_y"), "gram").where(fits))
     rest = F.when(F.col("index_last_x") <= F.col("last_y"), F.col("n_x") - F.col("p_x")).otherwise(F.col("n_y") - F.col("p_y"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "p_x", "p_y", "index_last_x", "last_y").agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= need)
     links.append(written(_verified(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), docs, k, threshold)))
@@ -274,10 +285,15 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     return joined.unionByName(rest)
 
 
-def _possible(n: str, alone: str, m: str, others: str, threshold: int):
-    """The sizes, less n-grams that occur nowhere else, allow the threshold."""
-    need = F.ceil(F.lit(threshold) * (F.col(n) + F.col(m)) / F.lit(100 + threshold) - 1e-9)
-    return F.least(F.col(n) - F.col(alone), F.col(m) - F.col(others)) >= need
+def _possible(threshold: int):
+    """The sizes of x and y allow the threshold, less lone n-grams that the other row cannot have.
+
+    A lone n-gram of x is in no other prefix; where the prefix of y reaches beyond it
+    in the order, it is not in the rest of y either.
+    """
+    need = F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
+    most = lambda s, t: F.col(f"n_{s}") - F.when(F.col(f"alone_last_{s}") <= F.col(f"last_{t}"), F.col(f"alone_{s}")).otherwise(0)
+    return F.least(most("x", "y"), most("y", "x")) >= need
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
