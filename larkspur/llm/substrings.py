@@ -31,7 +31,9 @@ from .words import U64, mix, runs_of, text_chunks, word_hashes
 WINDOW = 20
 #: Rows of the sketch of windows.
 DEPTH = 3
-_SLICE = 1 << 18
+_SLICE = 1 << 17
+#: Windows estimated repeated that a task groups at once.
+STRETCH = 1 << 19
 
 
 def _windows(column: pa.Array, k: int):
@@ -46,72 +48,81 @@ def _windows(column: pa.Array, k: int):
 
 
 def split_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs without later copies of equal texts, later copies (doc, text_key)) for docs (doc, text, text_key).
+    """(docs without later copies of equal texts, later copies (doc, row)) for docs (doc, text, row, hash).
 
     Texts whose hash occurs once by the sketch stay where they are; the others meet
     by hash and checksum.  Rows of the least doc of a text all stay.
     """
-    n = docs.count()
-    bits = sketch.bits_for(n, 8)
-    often = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(docs.select("text_key"), lambda b: iter([np.asarray(b.column(0)).view(U64)]), bits))
+    bits = sketch.bits_for(docs.count(), 8)
+    often = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(docs.select("hash"), lambda b: iter([np.asarray(b.column(0)).view(U64)]), bits))
 
     def some(copies: bool):
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array(sketch.may_repeat(often.value, np.asarray(batch.column(2)).view(U64), bits) == copies))
+                yield batch.filter(pa.array(sketch.may_repeat(often.value, np.asarray(batch.column(3)).view(U64), bits) == copies))
 
         return docs.mapInArrow(run, docs.schema)
 
-    shared = written(some(True))
-    firsts = written(shared.groupBy("text_key", F.md5("text").alias("sum")).agg(F.min("doc").alias("first")))
-    marked = shared.withColumn("sum", F.md5("text"))
-    head = marked.join(firsts.withColumnRenamed("first", "doc"), ["text_key", "sum", "doc"], "left_semi").select("doc", "text", "text_key")
-    later = marked.select("doc", "text_key", "sum").join(firsts, ["text_key", "sum"]).where(F.col("doc") > F.col("first")).select("doc", "text_key").distinct()
+    shared = written(some(True).withColumn("sum", F.md5("text")))
+    firsts = written(shared.groupBy("hash", "sum").agg(F.min("doc").alias("first")))
+    head = shared.join(firsts.withColumnRenamed("first", "doc"), ["hash", "sum", "doc"], "left_semi").select(docs.columns)
+    later = shared.select("doc", "row", "hash", "sum").join(firsts, ["hash", "sum"]).where(F.col("doc") > F.col("first")).select("doc", "row").distinct()
     return some(False).unionByName(written(head)), written(later)
 
 
 def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc, text_key, start): windows of docs (doc, text, text_key) whose words also start earlier.
+    """(doc, row, starts): windows of docs (doc, text, row) whose words also start earlier, in one or more arrays for each text.
 
     Earlier means a smaller doc, or the same one and an earlier word.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch.bits_for(chars // 6)
     shared = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(docs.select("text"), lambda b: (keys for *_, keys, _ in _windows(b.column(0), k)), bits, DEPTH))
+    names = ["doc", "row", "start", "one", "two", "starts"]
 
     def run(batches):
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            docs_of, keys_of = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            docs_of, rows_of = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for lo, first, at, one, two in _windows(batch.column(1), k):
                 keep = sketch.may_repeat(shared.value, one, bits)
                 at, one, two = at[keep], one[keep], two[keep]
                 owner = np.searchsorted(first, at, "right") - 1
-                held.append((docs_of[lo + owner], keys_of[lo + owner], (at - first[owner]).astype(np.int32), one.view(np.int64), two.view(np.int64)))
+                held.append((docs_of[lo + owner], rows_of[lo + owner], (at - first[owner]).astype(np.int32), one.view(np.int64), two.view(np.int64)))
                 n += len(at)
-                if n >= sketch.STRETCH:
+                if n >= STRETCH:
                     yield from decided(held)
                     held, n = [], 0
         if n:
             yield from decided(held)
 
     def decided(held):
-        """Firsts of each key in the stretch; later ones are decided, and only pass through under keys of their own."""
-        doc, text, start, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+        """Firsts of each key in the stretch, row by row; later ones are decided and go as one array for each text."""
+        doc, row, start, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((start, doc, two, one))
-        doc, text, start, one, two = (x[order] for x in (doc, text, start, one, two))
-        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = (doc != doc[head]) | (start != start[head])
-        one = np.where(later, mix(doc.view(U64) + start.astype(U64)).view(np.int64), one)
-        for a in range(0, len(doc), _SLICE):
-            s = slice(a, a + _SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(text[s]), pa.array(start[s]), pa.array(one[s]), pa.array(two[s], mask=later[s])], ["doc", "text_key", "start", "one", "two"])
-
-    found = docs.select("doc", "text", "text_key").mapInArrow(run, "doc long, text_key long, start int, one long, two long")
+        new = np.r_[True, (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        later = np.zeros(len(doc), bool)
+        later[order] = (doc[order] != doc[head]) | (start[order] != start[head])
+        first = np.flatnonzero(~later)
+        for a in range(0, len(first), _SLICE):
+            s = first[a : a + _SLICE]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(row[s]), pa.array(start[s]), pa.array(one[s]), pa.array(two[s]), pa.nulls(len(s), pa.list_(pa.int32()))], names)
+        doc, row, start = doc[later], row[later], start[later]
+        if len(doc):
+            order = np.lexsort((start, row, doc))
+            doc, row, start = doc[order], row[order], start[order]
+            edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[edge, len(doc)], pa.int32()), pa.array(start))
+            none = pa.nulls(len(edge), pa.int64())
+            own_key = mix(doc[edge].view(U64) ^ U64(0xA0761D6478BD642F)).view(np.int64)  # no two texts need to meet
+            yield pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(row[edge]), pa.nulls(len(edge), pa.int32()), pa.array(own_key), none, lists], names)
+
+    found = docs.select("doc", "text", "row").mapInArrow(run, "doc long, row long, start int, one long, two long, starts array<int>")
     place = F.rank().over(Window.partitionBy("one", "two").orderBy("doc", "start"))
-    return found.withColumn("place", place).where("two is null or place > 1").select("doc", "text_key", "start")
+    return found.withColumn("place", place).where("two is null or place > 1").select("doc", "row", F.coalesce("starts", F.array("start")).alias("starts"))
 
 
 def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -126,11 +137,13 @@ def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     least = F.lit(-(2**63)).cast("long")
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), least).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-    single, copies = split_copies(keyed.select("doc", "text", "text_key"))
-    starts = repeated_starts(single, k).groupBy("doc", "text_key").agg(F.collect_set("start").alias("starts"))
-    gone = starts.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "text_key", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
-    joined = keyed.join(written(gone), ["doc", "text_key"], "left").select("doc_id", "text", "starts", "whole")
+    rows = keyed.agg(F.count("*").alias("n"), F.count_distinct("doc").alias("d")).first()
+    # the doc tells rows apart; only where it repeats is the text's hash needed too
+    keyed = keyed.withColumn("row", F.xxhash64("text") if rows["n"] > rows["d"] else F.lit(0).cast("long"))
+    single, copies = split_copies(keyed.select("doc", "text", "row", F.xxhash64("text").alias("hash")))
+    starts = repeated_starts(single, k).groupBy("doc", "row").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    gone = starts.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "row", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    joined = keyed.join(written(gone), ["doc", "row"], "left").select("doc_id", "text", "starts", "whole")
 
     def run(batches):
         for batch in batches:
