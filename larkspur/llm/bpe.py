@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from .shared import bounded_batches
+
 # Unicode White_Space, which is what \s means to the pattern.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _EDGE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
@@ -119,6 +121,7 @@ def decode(df: DataFrame, rank_data: bytes, pattern: str, ids: str = "token_ids"
 
 
 def _mapped(df, rank_data, pattern, source, target, spark_type, kind, f) -> DataFrame:
+    bounded_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(rank_data)
     keep = [c for c in df.columns if c.lower() != target.lower() or c == source]
     own = [x for x in df.schema.fields if x.name.lower() != target.lower()]
@@ -141,6 +144,7 @@ def digests(df: DataFrame, rank_data: bytes, pattern: str, doc_id: str = "doc_id
     beyond it.  Null or empty text: no tokens.  Repeated rows give repeated
     results; an empty table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     ranks = df.sparkSession.sparkContext.broadcast(rank_data)
 
     def run(batches):

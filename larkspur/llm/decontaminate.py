@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -210,6 +211,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     d, i = docs.schema[doc_id].dataType, items.schema["item_id"].dataType
     schema = f"doc_id {d.simpleString()}, item_id {i.simpleString()}, start_word long, n_words long, similarity double"
     out = spark.createDataFrame([], schema)
@@ -242,6 +244,7 @@ def _arrow(kind):
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that contain an item; all columns are kept as they are."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     for part in item_slices(items):
         shared = spark.sparkContext.broadcast(part)
 

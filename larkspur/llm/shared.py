@@ -7,9 +7,9 @@ from ..sources.shared import shared_folder, written
 __all__ = ["bounded_batches", "shared_folder", "written"]
 
 #: Arrow batches to and from Python workers, in bytes; a longer text makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session small: numpy works on chunks of a few MB anyway."""
+    """Keep Arrow batches of this session small: numpy works on chunks of a MB anyway, and the JVM keeps buffers of their size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

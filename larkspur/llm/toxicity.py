@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .shared import bounded_batches
 from .words import U64, _tables, _LOWER, mix, text_chunks, word_hashes
 
 #: Labelled rows of either class that the models are fitted on, at most.
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
     Several labels of a document: toxic if any says so, low quality if any says so.
     Rows with a null id or label do not count.
     """
+    bounded_batches(docs.sparkSession)
     agreed = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     counts = {r["toxic"]: r["count"] for r in agreed.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
     if not counts.get(0) or not counts.get(1):
@@ -211,6 +213,7 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", keep=None) -
     keep: None for all rows, True for toxic rows only, False for the others.
     Null and empty texts have no features.  Without a chain all probabilities are 0.
     """
+    bounded_batches(docs.sparkSession)
     names = [n for n, _ in CHAIN]
     own = [c for c in docs.columns if c.lower() not in {f"p_{n}" for n in names}]
     base = docs.select(*[f"`{c}`" for c in own])
