@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, jaccard, pii, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies of the pipeline: shingles of five words, similarity in hundredths.
+SHINGLE = 5
+THRESHOLD = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component of the n-gram Jaccard join; rows without an id all stay."""
     docs = docs.select(*COLUMNS)
-    found = jaccard.linked(docs)
+    found = jaccard.linked(docs, SHINGLE, THRESHOLD)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
     ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()

@@ -270,3 +270,16 @@ def test_pipeline(spark, tmp_path):
     assert len(kept) == 300 - len(toxic) + 2
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == kept.keys() and all(r["round_trip"] for r in out)
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    """Two distant words of 100 changed: 86/106 of five-word shingles stay, 92/104 of three-word ones; four changed: 76/116."""
+    from larkspur.llm import stages
+
+    base = [f"w{j}" for j in range(100)]
+
+    def changed(*at):
+        return " ".join(f"other{j}" if j in at else w for j, w in enumerate(base))
+
+    docs = spark.createDataFrame([(1, changed(), "en", "s", 0), (2, changed(30, 70), "en", "s", 0), (3, changed(20, 40, 60, 80), "en", "s", 0)], SCHEMA)
+    assert {r["doc_id"] for r in stages.one_of_each_group(spark, docs, str(tmp_path)).collect()} == {1, 3}
