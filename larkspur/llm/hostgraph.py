@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 DAMPING = 0.85
-MAX_STEPS = 20
+#: A step moves at most 2 * DAMPING**steps: 90 steps settle any graph, so more are an error.
+MAX_STEPS = 100
 TOLERANCE = 1e-6
 #: Blocked when distrust > THRESHOLD * trust.
 THRESHOLD = 1.0
@@ -89,8 +90,9 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, rank) from edges (src, dst, n) and seeds (host, weight); ranks sum to 1.
 
     Rank that reaches a host without links returns to the seeds.  Stops when a step
-    moves less than TOLERANCE in all, at most after MAX_STEPS.  Each step is one
-    join and one sum, written to the shared folder.  Without seeds: no rows.
+    moves less than TOLERANCE in all and reaches no new host, however long the
+    chains; still moving more after MAX_STEPS is an error.  Each step is one join
+    and one sum, written to the shared folder.  Without seeds: no rows.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
@@ -100,8 +102,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         return start
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    rank = start
-    for _ in range(MAX_STEPS):
+    rank, reached, step = start, start.count(), 0
+    while True:
         moved = (
             rank.withColumnRenamed("host", "src")
             .join(shares, "src")
@@ -116,11 +118,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             .groupBy("host")
             .agg(F.sum("rank").alias("rank"))
         )
-        change = new.withColumn("d", F.col("rank")).select("host", "d").unionByName(rank.select("host", (-F.col("rank")).alias("d"))).groupBy("host").agg(F.abs(F.sum("d")).alias("d")).agg(F.sum("d")).first()[0]
-        rank = new
+        both = new.select("host", F.col("rank").alias("d"), F.lit(1).alias("new")).unionByName(rank.select("host", (-F.col("rank")).alias("d"), F.lit(0).alias("new")))
+        change, hosts = both.groupBy("host").agg(F.abs(F.sum("d")).alias("d"), F.max("new").alias("new")).agg(F.sum("d"), F.sum("new")).first()
+        rank, step = new, step + 1
         if (change or 0.0) < TOLERANCE:
-            break
-    return rank
+            if hosts == reached:
+                return rank
+        elif step >= MAX_STEPS:
+            raise RuntimeError(f"ranks still move by {change} after {step} steps")
+        reached = hosts
 
 
 def host_scores(pages: DataFrame) -> DataFrame:

@@ -283,3 +283,13 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, changed(), "en", "s", 0), (2, changed(30, 70), "en", "s", 0), (3, changed(20, 40, 60, 80), "en", "s", 0)], SCHEMA)
     assert {r["doc_id"] for r in stages.one_of_each_group(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_rank_reaches_the_end_of_long_chains(spark):
+    """Rank halves only after four links, so both ends of a chain of 40 hosts need more steps than 20."""
+    edges = [(f"h{i:02d}", f"h{i + 1:02d}", 1) for i in range(40)] + [("h40", "h00", 1)]
+    got = hostgraph.personalised_rank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("h00", 1.0)], "host string, weight double"))
+    ranks = {r["host"]: r["rank"] for r in got.collect()}
+    want = _rank(edges, {"h00": 1.0})
+    assert ranks.keys() == want.keys()
+    assert sum(abs(ranks[h] - want[h]) for h in want) < 1e-5 and ranks["h40"] > 0
