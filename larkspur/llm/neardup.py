@@ -3,10 +3,11 @@
 Equal vectors become one class.  Class vectors are dealt to the shards of their
 nearest centroids, so shards overlap; each shard builds a pruned neighbour graph,
 and the adjacency lists of a vector from all its shards are united.  Every vector
-then searches the united graph of its shards, greedily from the medoid, and
-widens the search around all it finds within the range.  Found pairs are verified
-by cosine in double precision, and recall is audited against brute force; a poor
-audit repeats the build with more overlap.
+then searches its shards, greedily from the medoid, and widens the search around
+all it finds within the range; across shards the widening follows the united lists
+by joins until nothing new is found.  Found pairs are verified by cosine in double
+precision, and recall is audited against brute force; a poor audit repeats the
+build with more overlap.
 
 Centroids are fitted on a sample of FIT_SAMPLE vectors at most; all vectors are
 indexed.  A shard with more than SHARD_MOST vectors is cut into blocks and worked
@@ -202,7 +203,7 @@ def _dealt(reps: DataFrame, centroids, width: int, overlap: int) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame, width: int, centroids: np.ndarray, overlap: int, cosine: float) -> DataFrame:
-    """(a, b) with a < b: pairs found on the graph whose cosine in double precision is at least `cosine`."""
+    """(a, b) with a < b: pairs found on the united graph whose cosine in double precision is at least `cosine`."""
     dealt = written(_dealt(reps, centroids, width, overlap))
 
     def build(key, table):
@@ -211,10 +212,11 @@ def candidate_pairs(reps: DataFrame, width: int, centroids: np.ndarray, overlap:
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         lists = pruned_graph(x)
-        near = [pa.array(np.unique(ids[row]), pa.int64()).to_pylist() for row in lists]
-        return pa.table({"id": pa.array(ids), "near": pa.array(near, pa.list_(pa.int64()))})
+        sims = np.stack([np.einsum("nd,nd->n", x, x[own]) for own in lists.T], 1)
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()))
+        return pa.table({"id": pa.array(ids), "near": pa.array(list(ids[lists]), kinds[0]), "sims": pa.array(list(sims), kinds[1])})
 
-    parts = dealt.groupBy("shard", "i", "j").applyInArrow(build, "id long, near array<long>")
+    parts = written(dealt.groupBy("shard", "i", "j").applyInArrow(build, "id long, near array<long>, sims array<double>"))
     union = written(parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     graph = dealt.join(union, "id")
 
@@ -241,17 +243,62 @@ def candidate_pairs(reps: DataFrame, width: int, centroids: np.ndarray, overlap:
         lists = np.repeat(np.arange(len(ids))[:, None], depth, 1)
         lists[s, np.arange(len(s)) - first[s]] = t
         q, v = range_search(x, lists, cosine)
-        a, b = np.minimum(q, v), np.maximum(q, v)
-        both = np.unique(a * len(ids) + b)
-        a, b = both // len(ids), both % len(ids)
-        keep = np.zeros(len(a), bool)
-        norms = np.sqrt((raw * raw).sum(1))
-        for k in range(0, len(a), 1 << 17):
-            e, f = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
-            keep[k : k + (1 << 17)] = np.einsum("pd,pd->p", raw[e], raw[f]) / (norms[e] * norms[f]) >= cosine
-        return pa.table({"a": pa.array(ids[a[keep]], pa.int64()), "b": pa.array(ids[b[keep]], pa.int64())})
-
-    return graph.groupBy("shard", "i", "j").applyInArrow(search, "a long, b long").distinct()
+        keep = _in_range(raw, raw, q, v, cosine)
+        group = _group(*(k.as_py() for k in key))
+        return pa.table({"q": pa.array(ids[q[keep]], pa.int64()), "v": pa.array(ids[v[keep]], pa.int64()), "at": pa.array(np.full(int(keep.sum()), group), pa.int64())})
+
+    found = written(graph.groupBy("shard", "i", "j").applyInArrow(search, "q long, v long, at long"))
+    return _widened(reps, dealt, parts, found, width, cosine)
+
+
+def _group(shard, i, j):
+    """One number for a shard and a pair of its blocks, from numbers or Columns."""
+    return shard * (1 << 42) + i * (1 << 21) + j
+
+
+def _in_range(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether rows a of left and b of right have at least the cosine, in double precision."""
+    one, two = (np.sqrt((x * x).sum(1)) for x in (left, right))
+    keep = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 17):
+        e, f = a[k : k + (1 << 17)], b[k : k + (1 << 17)]
+        keep[k : k + (1 << 17)] = np.einsum("pd,pd->p", left[e], right[f]) / (one[e] * two[f]) >= cosine
+    return keep
+
+
+def _widened(reps: DataFrame, dealt: DataFrame, parts: DataFrame, found: DataFrame, width: int, cosine: float) -> DataFrame:
+    """(a, b) with a < b: found pairs (q, v, at), and those that the united lists lead to from them.
+
+    Whoever is in range of q and v may have neighbours in range of q too, in any
+    shard.  Those of the group `at` were tried there already.  A link of more than
+    twice the range's angle leads from no vector in range to another.
+    """
+    groups = dealt.groupBy(F.col("id").alias("w")).agg(F.collect_set(_group(F.col("shard").cast("long"), F.col("i").cast("long"), F.col("j").cast("long"))).alias("groups"))
+    links = parts.select("id", F.explode(F.arrays_zip("near", "sims")).alias("x")).select(F.col("id").alias("v"), F.col("x.near").alias("w"), F.col("x.sims").alias("s"))
+    links = links.where((F.col("v") != F.col("w")) & (F.col("s") >= (2 * cosine * cosine - 1 - 1e-6 if cosine > 0 else -2.0))).select("v", "w")
+    links = written(links.unionByName(links.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct().join(groups, "w"))
+
+    def verify(batches):
+        for batch in batches:
+            if batch.num_rows:
+                left, right = _matrix(batch.column(2), width), _matrix(batch.column(3), width)
+                each = np.arange(batch.num_rows)
+                yield batch.select([0, 1]).filter(pa.array(_in_range(left, right, each, each, cosine)))
+
+    pairs = written(found.select(F.least("q", "v").alias("a"), F.greatest("q", "v").alias("b")).distinct())
+    back = found.select(F.col("v").alias("q"), F.col("q").alias("v"), F.lit(None).cast("long").alias("at"))
+    frontier = found.unionByName(back).groupBy("q", "v").agg(F.collect_set("at").alias("tried"))
+    vector = lambda c: reps.select(F.col("id").alias(c), F.col("vector").alias(f"vector_{c}"))
+    while True:
+        led = frontier.join(links, "v").where((F.col("q") != F.col("w")) & ~F.arrays_overlap("tried", "groups"))
+        led = led.select(F.least("q", "w").alias("a"), F.greatest("q", "w").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        led = led.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", "vector_a", "vector_b")
+        new = written(led.mapInArrow(verify, "a long, b long"))
+        if new.isEmpty():
+            return pairs
+        pairs = pairs.unionByName(new)
+        none = F.array().cast("array<long>").alias("tried")
+        frontier = new.select(F.col("a").alias("q"), F.col("b").alias("v"), none).unionByName(new.select(F.col("b").alias("q"), F.col("a").alias("v"), none))
 
 
 def audit(reps: DataFrame, pairs: DataFrame, width: int, cosine: float) -> float:

@@ -293,3 +293,15 @@ def test_rank_reaches_the_end_of_long_chains(spark):
     want = _rank(edges, {"h00": 1.0})
     assert ranks.keys() == want.keys()
     assert sum(abs(ranks[h] - want[h]) for h in want) < 1e-5 and ranks["h40"] > 0
+
+
+def _reps(spark, x):
+    rows = [(i, bytearray(np.asarray(v, np.float64).tobytes())) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, vector binary")
+
+
+def test_search_follows_lists_across_shards(spark):
+    """On an arc: 0 and 2 are in range but share no shard; 1 shares one with each."""
+    arc = lambda *degrees: np.stack([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))], 1)
+    got = neardup.candidate_pairs(_reps(spark, arc(0, 9, 17)), 2, arc(-10, 2, 16, 28), 2, 0.95).collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (0, 2), (1, 2)]
