@@ -7,7 +7,7 @@ then searches its shards, greedily from the medoid, and widens the search around
 all it finds within the range; across shards the widening follows the united lists
 by joins until nothing new is found.  Found pairs are verified by cosine in double
 precision, and recall is audited against brute force; a poor audit repeats the
-build with more overlap.
+build with more overlap, and after AUDIT_TRIES builds all pairs are compared.
 
 Centroids are fitted on a sample of FIT_SAMPLE vectors at most; all vectors are
 indexed.  A shard with more than SHARD_MOST vectors is cut into blocks and worked
@@ -41,6 +41,8 @@ QUERY_BLOCK = 128
 AUDIT_SAMPLE = 200
 AUDIT_RECALL = 0.95
 AUDIT_TRIES = 3
+#: Vectors in a block where all pairs are compared.
+EXACT_BLOCK = 8192
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -301,9 +303,46 @@ def _widened(reps: DataFrame, dealt: DataFrame, parts: DataFrame, found: DataFra
         frontier = new.select(F.col("a").alias("q"), F.col("b").alias("v"), none).unionByName(new.select(F.col("b").alias("q"), F.col("a").alias("v"), none))
 
 
+def exact_pairs(reps: DataFrame, width: int, cosine: float) -> DataFrame:
+    """(a, b) with a < b: all pairs whose cosine is at least `cosine`, by comparing all blocks with each other."""
+    blocks = max(1, -(-reps.count() // EXACT_BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    rows = reps.select("id", "vector", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "vector")
+
+    def compare(key, table):
+        i, j = (k.as_py() for k in key)
+        of, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
+        raw = _matrix(table.column("vector"), width)
+        x = _unit(raw)
+        left, right = np.flatnonzero(of == i), np.flatnonzero(of == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(left), QUERY_BLOCK):
+            some = left[k : k + QUERY_BLOCK]
+            r, c = np.nonzero(x[some] @ x[right].T >= cosine - 1e-9)
+            a, b = some[r], right[c]
+            ahead = (i != j) | (ids[a] < ids[b])
+            a, b = a[ahead], b[ahead]
+            keep = _in_range(raw, raw, a, b, cosine) if len(a) else np.zeros(0, bool)
+            found.append(np.stack([np.minimum(ids[a], ids[b])[keep], np.maximum(ids[a], ids[b])[keep]], 1))
+        every = np.concatenate(found)
+        return pa.table({"a": pa.array(every[:, 0], pa.int64()), "b": pa.array(every[:, 1], pa.int64())})
+
+    return rows.groupBy("i", "j").applyInArrow(compare, "a long, b long")
+
+
 def audit(reps: DataFrame, pairs: DataFrame, width: int, cosine: float) -> float:
-    """Share of the true links of AUDIT_SAMPLE vectors, by brute force against all, that `pairs` holds."""
-    rows = reps.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT_SAMPLE).select("id", "vector").collect()
+    """Share of true links, by brute force against all, that `pairs` holds: the lesser of two samples.
+
+    AUDIT_SAMPLE vectors of all, and as many of those with a link, which a sample of
+    all may miss where links are rare.
+    """
+    linked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return min(_recall(some, reps, pairs, width, cosine) for some in (reps, reps.join(linked, "id", "left_semi")))
+
+
+def _recall(some: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, cosine: float) -> float:
+    rows = some.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT_SAMPLE).select("id", "vector").collect()
     if not rows:
         return 1.0
     ids = np.array([r["id"] for r in rows])
@@ -351,6 +390,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             if audit(reps, pairs, width, cosine) >= AUDIT_RECALL:
                 break
             overlap *= 2
+        else:
+            pairs = written(exact_pairs(reps, width, cosine))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         weight = reps.select(F.col("id").alias("b"), "members")
         direct = both.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("others"))

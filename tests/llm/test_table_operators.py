@@ -305,3 +305,22 @@ def test_search_follows_lists_across_shards(spark):
     arc = lambda *degrees: np.stack([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))], 1)
     got = neardup.candidate_pairs(_reps(spark, arc(0, 9, 17)), 2, arc(-10, 2, 16, 28), 2, 0.95).collect()
     assert sorted(map(tuple, got)) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_many_shards_with_a_dense_group(spark, monkeypatch):
+    """A third of the vectors are distinct near copies, in more shards than any overlap reaches; a build that finds nothing is not accepted."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(450, 24))
+    x[:150] = x[0] + rng.normal(size=(150, 24)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = x @ x.T >= 0.95
+    np.fill_diagonal(true, False)
+    assert true.sum() > 15000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neardup, "SHARD_AIM", 4)
+    found = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    assert sum(found.values()) >= 0.95 * true.sum()
+    monkeypatch.setattr(neardup, "candidate_pairs", lambda reps, *_: reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(neardup, "EXACT_BLOCK", 200)
+    found = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(450)] == true.sum(1).tolist()
