@@ -8,7 +8,9 @@ two fingerprints at most r bits apart agree in one block at least.  Candidates a
 then verified by weighted Jaccard similarity of shingle counts.
 
 Items go to the executors in slices of bounded size; a larger benchmark takes
-more passes over the documents, never a larger broadcast.
+more passes over the documents.  Shingles weigh by their items in the whole
+benchmark: each slice also has the counts of shingles that several items share,
+16 bytes each; one of a single item weighs as much as one of none.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -50,7 +52,8 @@ def _short(words: np.ndarray, k: int) -> np.ndarray:
 class Items:
     """A slice of benchmark items, ready to be searched."""
 
-    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, radius: int = RADIUS):
+    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, radius: int = RADIUS, shared: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """shared: number of items, and shingles with their numbers of items where several have them; by default of this slice."""
         self.similarity, self.radius = similarity, radius
         column = pa.array(texts, pa.large_string())
         self.ids, self.sizes, self.shingles, self.counts = [], [], [], []
@@ -70,8 +73,9 @@ class Items:
         every = np.concatenate(self.shingles) if self.shingles else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.shingles])
         self.known, df = np.unique(every, return_counts=True)
-        self.common = float(np.log1p(len(self.ids)))
-        self.weight = np.log1p(len(self.ids) / df) if len(df) else np.zeros(0)
+        total, self.several, df = shared or (len(self.ids), self.known[df > 1], df[df > 1])
+        self.common = float(np.log1p(total))
+        self.weight = np.log1p(total / df) if len(df) else np.zeros(0)
         order = np.argsort(every, kind="stable")
         self.owners, self.owner_at = owner[order], np.searchsorted(every[order], self.known)
         self.owner_end = np.r_[self.owner_at[1:], len(order)].astype(np.int64) if len(self.known) else np.zeros(0, np.int64)
@@ -86,10 +90,10 @@ class Items:
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """Rarer shingles of the benchmark weigh more; those in no item weigh most."""
-        if not len(self.known):
+        if not len(self.several):
             return np.full(len(shingles), self.common)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], self.common)
+        at = np.minimum(np.searchsorted(self.several, shingles), len(self.several) - 1)
+        return np.where(self.several[at] == shingles, self.weight[at], self.common)
 
     def _print(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (_signs(shingles) * (self.weights(shingles) * counts)[:, None]).sum(0) > 0
@@ -176,14 +180,35 @@ class Items:
                 best[item] = (score, begin, min(size, n_words))
 
 
+def _shared_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of items with words, sorted shingles that several items have, their numbers of items) of items (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(0)):
+                words, _, first = word_hashes(data, offsets, lower=True)
+                shingles, pos = shingle_hashes(words, first, SHINGLE)
+                own = [np.unique(shingles[pos[i] : pos[i + 1]]).view(np.int64) for i in range(hi - lo) if first[i + 1] > first[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], ["shingles"])
+
+    sets = written(items.select("text").mapInArrow(run, "shingles array<long>"))
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    found = counts.toArrow()
+    shingles, df = (np.asarray(found.column(c).combine_chunks()) for c in ("shingle", "df"))
+    shingles = shingles.view(U64)
+    order = np.argsort(shingles)
+    return sets.count(), shingles[order], df[order]
+
+
 def item_slices(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
     """The benchmark in slices of about SLICE_CHARS characters; null and wordless items are left out."""
     items = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = 1 + chars // SLICE_CHARS
+    shared = _shared_shingles(items) if count > 1 else None
     for k in range(count if chars else 0):
         rows = (items if count == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)).collect()
-        yield Items([r["id"] for r in rows], [r["text"] for r in rows])
+        yield Items([r["id"] for r in rows], [r["text"] for r in rows], shared=shared)
 
 
 def _searched(items: Items, column: pa.Array) -> Iterator[tuple[int, dict]]:

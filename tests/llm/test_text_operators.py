@@ -200,3 +200,21 @@ def test_toxicity_held_out(spark, no_docs):
     assert toxicity.rejected(docs, frame.where("toxic = 0")).count() == 0
     kept = toxicity.score(docs.withColumn("p_toxic", F.lit("x")), toxicity.train(docs, frame), keep=False)
     assert kept.count() + len(got) == docs.count()
+
+
+def test_slices_of_the_benchmark_weigh_alike(spark, monkeypatch):
+    """Items share their first 20 words, so a slice alone would take those for rare."""
+    items = [(k, passage(90, 20) + " " + " ".join(f"i{k}x{j}" for j in range(30))) for k in range(12)]
+    docs = []
+    for k, text in items:
+        words = text.split()
+        words[10 if k % 2 else 40] = "changed"
+        docs.append((k, f"before {k} " + " ".join(words) + " after"))
+    docs, items = _frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.matches(docs, items).collect()))
+    assert {r[0] for r in whole} >= {1, 3, 5, 7, 9, 11} and all(r[4] < 1 for r in whole)
+    left = {r["doc_id"] for r in decontaminate.clean(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 1000)
+    assert len(list(decontaminate.item_slices(items))) > 2
+    assert sorted(map(tuple, decontaminate.matches(docs, items).collect())) == whole
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == left
