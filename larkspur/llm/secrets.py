@@ -1,4 +1,4 @@
-"""Secret scan: all rules in one minimal automaton, one pass over the bytes of each text."""
+"""Secret scan: one pass of a common automaton with shortened rules flags texts; an automaton for each flagged rule locates its spans."""
 
 from __future__ import annotations
 
