@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import bounded_batches
-from .words import U64, _tables, _LOWER, mix, text_chunks, word_hashes
+from .words import U64, Words, mix, text_chunks
 
 #: Labelled rows of either class that the models are fitted on, at most.
 SAMPLE = 3000
@@ -40,22 +40,13 @@ CHAIN = (
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes of all words (whole, and first 4, 5 and 6 bytes) and the text of each."""
-    words, starts, first = word_hashes(data, offsets, lower=True)
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ends = np.r_[starts[1:], len(data)] if len(starts) else starts
-    ends = np.minimum(ends, offsets[1:][owner])
-    power, _ = _tables(16)
-    padded = np.r_[_LOWER[data], np.zeros(max(PREFIXES), U64)]
-    out, of = [words], [owner]
-    sums = np.zeros(len(starts), U64)
-    alive = np.ones(len(starts), bool)
-    for j in range(max(PREFIXES)):
-        value = padded[starts + j]
-        alive &= (starts + j < ends) & (value != 0)
-        sums = sums + np.where(alive, value, U64(0)) * power[j]
-        if j + 1 in PREFIXES:
-            out.append(mix(sums[alive] ^ U64(j + 1)))
-            of.append(owner[alive])
+    words = Words(data, offsets, lower=True)
+    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    out, of, head = [words.hashes()], [owner], words.part(slice(None))
+    for n in PREFIXES:
+        long = words.lengths >= n
+        out.append(mix(head[long] & U64((1 << 8 * n) - 1) ^ U64(n << 56)))
+        of.append(owner[long])
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -198,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = joined.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y array<int>, x binary").collect()
-    rows = sorted(rows, key=lambda r: (hash(r["doc_id"]) if not isinstance(r["doc_id"], int) else r["doc_id"], bytes(r["x"])))
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), bytes(r["x"])))  # folds are dealt alike in every process
     if not any(r["y"][1] for r in rows) or all(r["y"][1] for r in rows):
         return None
     # the intercept of a sample with other class shares than the labels'

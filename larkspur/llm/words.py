@@ -1,14 +1,17 @@
 """Vectorised word, shingle and window hashing over Arrow string columns.
 
 A word is a maximal run of bytes outside space and 0x09-0x0D.  Hashing works on
-the UTF-8 buffer of a whole record batch: a random table maps bytes to 64-bit
-values, each value is weighted by a power of an odd constant, and one segmented
-sum per word gives a polynomial hash mod 2**64, which a finaliser then mixes.
-No per-word Python objects are made.
+the UTF-8 buffer of a whole record batch, eight bytes of every word at a time: each
+step mixes the next eight bytes into the state by a bijection that is not linear,
+so words of up to eight bytes never collide, and no family of words is known to
+collide whatever the constants (as Thue-Morse words do for polynomials modulo a
+power of two).  Very long words are hashed by BLAKE2.  Two independent lanes make
+a 128-bit key.  No per-word Python objects are made for words of usual length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BYTES[_SPACE] = 0
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _SLICE + (1 << 16))
-        _powers[:] = [np.multiply.accumulate(np.r_[U64(1), np.full(size - 1, b, U64)]) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The first n bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+#: (length, state, step) constants of each lane.
+_LANES = ((0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0x5851F42D4C957F2D, 0xA3B195354A39B70D))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +49,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
-    if column.null_count:
-        column = column.fill_null("")
+    return bytes_buffer(column.fill_null("") if column.null_count else column)
+
+
+def bytes_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column without nulls and len+1 offsets into them."""
+    column = column.cast(pa.large_string() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return np.frombuffer(data or b"", np.uint8), offsets
@@ -70,27 +70,47 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+class Words:
+    """The words of some texts: first bytes, lengths, and len+1 word positions `first` at which the texts begin."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+        word = ~_SPACE[data]
+        begins, ends = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1]
+        ends[:-1] &= ~word[1:]
+        edges = offsets[:-1][offsets[:-1] < len(data)]
+        begins[edges] = word[edges]
+        edges = edges[edges > 0] - 1
+        ends[edges] = word[edges]
+        self.starts = np.flatnonzero(begins)
+        self.lengths = np.flatnonzero(ends) + 1 - self.starts
+        self.first = np.searchsorted(self.starts, offsets)
+        self.data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+        self._eights = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+
+    def part(self, at: np.ndarray | slice, skip: int = 0) -> np.ndarray:
+        """Bytes skip to skip + 8 of the words `at`, as numbers; missing bytes are 0."""
+        return self._eights[self.starts[at] + skip] & _FIRST[np.minimum(self.lengths[at] - skip, 8)]
+
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A hash of each word; those of the two lanes are independent."""
+        length, state, step = (U64(c) for c in _LANES[lane])
+        out = mix(self.part(slice(None)) + self.lengths.astype(U64) * length ^ state)
+        skip, at = 8, np.flatnonzero(self.lengths > 8)
+        while len(at) and skip < _LONG:
+            out[at] = mix(out[at] ^ self.part(at, skip)) * step
+            skip += 8
+            at = at[self.lengths[at] > skip]
+        for i in at.tolist():
+            word = self.data[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
+            out[i] = np.frombuffer(hashlib.blake2b(word, digest_size=16).digest(), U64)[lane]
+        return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, their first bytes, and len+1 word positions at which the texts begin."""
-    word = ~_SPACE[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    begins[edges] = word[edges]
-    starts = np.flatnonzero(begins)
-    out = np.empty(len(starts), U64)
-    table = _LOWER if lower else _BYTES
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _SLICE, "left")))
-        end = starts[b] if b < len(starts) else len(data)
-        power, inverse = _tables(int(end - starts[a]))
-        values = table[data[starts[a] : end]]
-        values *= power[: len(values)]
-        at = starts[a:b] - starts[a]
-        out[a:b] = np.add.reduceat(values, at) * inverse[at]
-        a = b
-    return mix(out), starts, np.searchsorted(starts, offsets)
+    words = Words(data, offsets, lower)
+    return words.hashes(), words.starts, words.first
 
 
 def runs_of(words: np.ndarray, k: int, multiplier: int) -> np.ndarray:
