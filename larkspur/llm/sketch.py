@@ -3,6 +3,7 @@
 Counters stop at 2.  A task sends the counters that its keys touch, sorted and
 packed as gaps; merged counters never fall below a key's count, so a key whose
 smallest counter is 1 occurs once, and a repeated key is never taken for single.
+With `least` 1 the same bits are a Bloom filter: no key is ever taken for absent.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import U64
+from .words import U64, mix
 
 ROWS = 2
 #: Counters of a row: at most 2**28, so that the merged bits (32 MB a row) can be broadcast whatever the data.
@@ -68,8 +69,8 @@ def _counters(keys: np.ndarray, bits: int, depth: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blocks, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["cell_row", "block", "once", "more"])
 
 
-def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = ROWS) -> np.ndarray:
-    """`depth` arrays of packed bits: may the counter be 2 or more?  keys_of gives the keys of a batch of df, in parts."""
+def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = ROWS, least: int = 2) -> np.ndarray:
+    """`depth` arrays of packed bits: may the counter be `least` (1 or 2) or more?  keys_of gives the keys of a batch of df, in parts."""
     width = 1 << min(bits, _BLOCK_BITS)
 
     def count(batches):
@@ -93,7 +94,7 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
                 held[at] = np.minimum(held[at] + 1, 2)
                 held[unpack_sorted(more.as_py())] = 2
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([np.packbits(v > 1).tobytes() for v in seen.values()], pa.binary())], ["cell_row", "block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([np.packbits(v >= least).tobytes() for v in seen.values()], pa.binary())], ["cell_row", "block", "bits"])
 
     parts = 1 << max(0, min(8, bits - _BLOCK_BITS))
     counters = df.mapInArrow(count, "cell_row int, block int, once binary, more binary")
@@ -111,3 +112,14 @@ def may_repeat(often: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
         c = cells(keys, row, bits)
         keep &= (often[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
     return keep
+
+
+def number_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The keys of a batch whose one column holds whole numbers; null counts as 0."""
+    yield mix(np.asarray(batch.column(0).fill_null(0)).astype(np.int64).view(U64))
+
+
+def members(numbers: DataFrame, room: int = 8) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column of whole numbers, and its bits for may_repeat; of bounded size, so it may let others pass."""
+    bits = bits_for(numbers.count(), room)
+    return repeated_cells(numbers, number_keys, bits, least=1), bits

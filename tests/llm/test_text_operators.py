@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from larkspur.llm import automaton, bpe, decontaminate, secrets, sketch, substrings, toxicity
+from larkspur.llm import automaton, bpe, decontaminate, secrets, sketch, substrings, toxicity, words
 from tests.llm.conftest import SCHEMA, passage
 
 
@@ -122,9 +123,62 @@ def test_substrings_random(spark):
     assert sorted(map(tuple, substrings.deduplicated(docs).collect()), key=repr) == _removed(rows)
 
 
-def test_packed_counters():
-    import numpy as np
+def thue_morse(n, a="a", b="b"):
+    """A word of 2**n letters; with a and b swapped it collides under any polynomial modulo 2**64 from n = 10 on."""
+    word = a
+    for _ in range(n):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_word_hashes_tell_thue_morse_words_apart():
+    words_of = [thue_morse(n, *ab) for n in (1, 3, 5, 7, 10, 12) for ab in ("ab", "ba")] + ["a", "ab\0", "ab\0\0", "x" * 64, "x" * 65, "x" * 66, "漢字"]
+    data = " ".join(words_of).encode()
+    split = words.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    for lane in (0, 1):
+        assert len(set(split.hashes(lane).tolist())) == len(words_of)
+    assert not set(split.hashes(0).tolist()) & set(split.hashes(1).tolist())
+
+
+def test_substrings_of_thue_morse_words(spark):
+    common = " ".join(f"c{j}" for j in range(19))
+    rows = [(i, f"{common} {thue_morse(n, *ab)}") for i, (n, ab) in enumerate((n, ab) for n in (10, 12) for ab in ("ab", "ba"))]
+    docs = _frame(spark, rows).select("doc_id", "text")
+    assert sorted(map(tuple, substrings.deduplicated(docs).collect()), key=repr) == _removed(rows)
+
+
+def test_substrings_in_slices_and_stretches(spark, monkeypatch):
+    """Many slices, stretches of a few windows, periodic texts, ids that repeat and ids that are null."""
+    rng = random.Random(10)
+    rows = [(rng.choice([i, i, i, i // 2, None]), " ".join(rng.choice([passage(rng.randint(0, 5), rng.randint(5, 50)), "la " * rng.randint(1, 60), "do re mi " * rng.randint(1, 20)]) for _ in range(rng.randint(0, 4)))) for i in range(80)]
+    monkeypatch.setattr(substrings, "SLICE_KEYS", 200)
+    monkeypatch.setattr(substrings, "STRETCH", 64)
+    docs = _frame(spark, rows).select("doc_id", "text").repartition(3)
+    assert sorted(map(tuple, substrings.deduplicated(docs).collect()), key=repr) == _removed(rows)
+
+
+def test_grouping_over_many_batches(spark):
+    """Rows of one minimizer over batches of a few rows: what is held between them decides alike."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(400):
+        windows = [rng.randint(0, 30) for _ in range(rng.randint(1, 5))]
+        rows.append((rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 60), rng.randint(0, 1), rng.randint(0, 8), len(windows), bytearray(np.array(windows, np.int64).tobytes())))
+    places = [(key, w, doc, start + j, row) for key, doc, row, start, _, packed in rows for j, w in enumerate(np.frombuffer(packed, np.int64).tolist())]
+    first = {}
+    for key, w, doc, start, _ in places:
+        first[key, w] = min(first.get((key, w), (doc, start)), (doc, start))
+    want = {(doc, row, start) for key, w, doc, start, row in places if (doc, start) > first[key, w]}
+    frame = spark.createDataFrame(rows, "key long, doc long, row long, start int, n int, windows binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = substrings._grouped(frame).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["doc"], r["row"], r["start"] + j) for r in got for j in range(r["n"])} == want
+
 
+def test_packed_counters():
     cells = np.unique(np.random.default_rng(1).integers(0, 1 << 18, 3000))
     assert (sketch.unpack_sorted(sketch.pack_sorted(cells)) == cells).all()
 
@@ -163,8 +217,6 @@ def test_decontamination_finds_changed_passages(spark):
 
 
 def test_hamming_blocks_find_all_within_the_radius():
-    import numpy as np
-
     rng = np.random.default_rng(2)
     items = decontaminate.Items(list(range(50)), [passage(k, 30) for k in range(50)])
     near = items.prints[rng.integers(0, 50, 300)].copy()
