@@ -149,6 +149,17 @@ class _Nfa:
         self.steps.append([])
         return len(self.free) - 1
 
+    def reversed(self) -> _Nfa:
+        """The same states with all arrows turned round."""
+        out = _Nfa([[] for _ in self.free], [[] for _ in self.steps])
+        for s, targets in enumerate(self.free):
+            for t in targets:
+                out.free[t].append(s)
+        for s, steps in enumerate(self.steps):
+            for chars, t in steps:
+                out.steps[t].append((chars, s))
+        return out
+
     def closure(self, states) -> frozenset:
         seen, stack = set(states), list(states)
         while stack:
@@ -167,26 +178,43 @@ class Automaton:
     accepts: list[tuple[int, ...]]
     dead: int | None
 
-    def linked_rows(self) -> list:
-        """One list per state: 256 references to the rows of the next states, then the accepted patterns."""
-        rows: list = [[None] * 257 for _ in self.next]
-        for row, targets, accepted in zip(rows, self.next, self.accepts, strict=True):
-            row[:256] = [rows[t] for t in targets]
-            row[256] = accepted
-        return rows
+    def linked_rows(self) -> tuple[bytes, list]:
+        """The class of each byte, and the row of the first state, which refers to the rows of the next states by class.
+
+        Each state has two rows.  A step to an accepting state leads to its second row,
+        and from there on to second rows only, so a run over many bytes tells by its last
+        row alone whether anything was accepted.  Rows end with the accepted patterns of
+        the state, and its first row where this is the second one (else None).
+        """
+        columns = list(zip(*self.next, strict=True))
+        number = {c: k for k, c in enumerate(dict.fromkeys(columns))}
+        classes = bytes(number[c] for c in columns)
+        byte = {k: c for c, k in reversed(list(enumerate(classes)))}
+        plain: list = [[] for _ in self.next]
+        met: list = [[] for _ in self.next]
+        for s, (targets, accepted) in enumerate(zip(self.next, self.accepts, strict=True)):
+            after = [targets[byte[k]] for k in range(len(number))]
+            plain[s] += [*((met if self.accepts[t] else plain)[t] for t in after), accepted, None]
+            met[s] += [*(met[t] for t in after), accepted, plain[s]]
+        return classes, plain[0]
+
 
+def compile_patterns(patterns: list[tuple[str, bool]], anywhere: bool, backwards: bool = False) -> Automaton:
+    """One minimal automaton for (pattern, ignore ASCII case) pairs; anywhere: matches may begin at any byte.
 
-def compile_patterns(patterns: list[tuple[str, bool]], anywhere: bool) -> Automaton:
-    """One minimal automaton for (pattern, ignore ASCII case) pairs; anywhere: matches may begin at any byte."""
+    backwards: for the reversed matches, to be run from the last byte to the first.
+    """
     nfa = _Nfa()
-    start, final = nfa.state(), {}
-    for k, (pattern, fold) in enumerate(patterns):
+    ends = []
+    for pattern, fold in patterns:
         parser = _Parser(pattern, nfa, fold)
-        a, b = parser.alternatives()
+        ends.append(parser.alternatives())
         if parser.i != len(pattern):
             raise ValueError(f"unbalanced ) in {pattern}")
-        nfa.free[start].append(a)
-        final[b] = k
+    if backwards:
+        nfa, ends = nfa.reversed(), [(b, a) for a, b in ends]
+    start, final = nfa.state(), {b: k for k, (_, b) in enumerate(ends)}
+    nfa.free[start] += [a for a, _ in ends]
     # bytes that no step tells apart share a class
     signature: dict[int, list] = {c: [] for c in range(256)}
     every = {chars for steps in nfa.steps for chars, _ in steps}
