@@ -25,4 +25,16 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/larkspur/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned, once all that reads them has been written too; others are left alone."""
+    for table in tables:
+        path = table.__dict__.get("_written_to")
+        if path:
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
