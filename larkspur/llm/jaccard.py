@@ -5,13 +5,15 @@ documents by n-grams.  n-grams are ordered from rare to frequent (by a sketch of
 counts over all documents), and only a prefix of each row takes part in the first
 product: with threshold t, a row of n entries keeps n - ceil(t n) + 1, since two
 rows that link must share one of those.  The product accumulates overlaps within
-the prefixes; n-grams that a sketch shows to occur once are left out; a pair whose overlap plus what may still follow lies below the
-bound given by its sizes is discarded.  The rest get their full overlap in blocks.
-
-Equal rows count once.  Before the product, each column with many entries is
-multiplied with one central row only, and rows found linked are
-merged: a group of near copies is mostly one component by then, and the product
-skips pairs inside a component, so no column of theirs yields its square.
+the prefixes; n-grams that a sketch shows to occur once are left out; a pair whose
+overlap plus what may still follow lies below the bound given by its sizes is
+discarded.  The rest get their full overlap in blocks.
+
+Equal rows count once.  Before the product, each wide column is multiplied with one
+central row only, and rows found linked are merged: a group of near copies is
+mostly one component by then, and the product skips pairs inside a component, so no
+column of theirs yields its square.  Narrow columns, of WIDE entries at most, are
+multiplied where they lie after one exchange.
 """
 
 from __future__ import annotations
@@ -25,17 +27,20 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .shared import bounded_batches, written
+from .shared import bounded_batches, dropped, written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 3
 THRESHOLD = 90  # hundredths
-#: Columns with more entries are first multiplied with one of their rows.
+#: Columns with more entries count as wide and are first multiplied with one of their rows.
 WIDE = 16
 #: The sketch that orders n-grams has 2**24 cells (16 MB as levels); more data blur the order, never the result.
 _CELL_BITS = 24
 _BLOCK_BITS = 18
-_FILTER_BITS = 26
+#: Pairs that are sent to all executors (32 bytes each, twice); more are joined by an exchange of both sides.
+BROADCAST_PAIRS = 1 << 18
+#: Partners in a block that meets one copy of a row's set.
+PARTNERS = 1024
 
 
 def _rows(column: pa.Array, k: int):
@@ -52,7 +57,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        names = ["doc_id", "n", "k1", "k2", "block", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "block", "at", "counts"]
         cells, of = np.zeros(1 << _CELL_BITS, np.uint16), pa.int64()
         for batch in batches:
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
@@ -64,32 +69,33 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 cells[at] = np.minimum(cells[at] + more.astype(np.uint32), 65535)
             of = batch.column(0).type
             none = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), none, pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), none, *[pa.nulls(batch.num_rows, pa.binary())] * 2], names)
         width, no = 1 << _BLOCK_BITS, pa.nulls(1, pa.int64())
         for block in range(1 << (_CELL_BITS - _BLOCK_BITS)):
             part = cells[block * width : (block + 1) * width]
-            if part.any():
-                data = zlib.compress(part.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, of), no, no, no, pa.array([block], pa.int32()), pa.array([data], pa.binary())], names)
+            at = np.flatnonzero(part > 1)  # what a task meets once is not frequent
+            if len(at):
+                data = zlib.compress(sketch.pack_sorted(at), 1), zlib.compress(part[at].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, of), no, no, no, pa.array([block], pa.int32()), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, block int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, block int, at binary, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
-    """Powers of two of the summed counts, one byte for each cell of the sketch."""
+    """Powers of two of the summed counts, one byte for each cell of the sketch; 0 for cells that no task met twice."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(counts.as_py()), np.uint16)
-                sums[block] = sums.get(block, 0) + part.astype(np.int64)
+            for block, at, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                held = sums.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.int64))
+                held[sketch.unpack_sorted(zlib.decompress(at.as_py()))] += np.frombuffer(zlib.decompress(counts.as_py()), np.uint16)
         for block, x in sums.items():
             level = np.ceil(np.log2(x + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
 
     out = np.zeros(1 << _CELL_BITS, np.uint8)
-    for r in sketches.repartition(64, "block").mapInArrow(run, "block int, levels binary").toLocalIterator():
+    for r in sketches.repartition(64, "block").mapInArrow(run, "block int, levels binary").collect():
         out[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -99,11 +105,18 @@ def index_length(n, threshold: int):
     return n - -(-2 * threshold * n // (100 + threshold)) + 1
 
 
-def _prefixes(docs: DataFrame, levels, k: int, threshold: int) -> DataFrame:
-    """(doc_id, n, p, last, index_last, grams): the rarest p of n n-grams in order, and order keys of the last ones."""
+def _prefixes(docs: DataFrame, nodes: DataFrame, levels, k: int, threshold: int) -> DataFrame:
+    """(doc_id, n, p, last, index_last, grams): the rarest p of n n-grams in order, and order keys of the last ones.
+
+    For rows of nodes, by a Bloom filter; others that pass it only link with their equal.
+    """
+    found, bits = sketch.members(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
         for batch in batches:
+            (own,) = sketch.number_keys(batch.select([0]))
+            batch = batch.filter(pa.array(sketch.may_repeat(shared.value, own, bits)))
             at, n, p, last, index_last, grams = [], [], [], [], [], []
             for i, own in _rows(batch.column(1), k):
                 if not len(own):
@@ -128,6 +141,8 @@ def _keys(level: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (level[(grams >> U64(64 - _CELL_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (mix(grams) >> U64(8))
 
 
+#: Order keys go along with entries by their leading bits; what they cannot tell counts as undecided.
+_KEY_SHIFT = 40
 _ENTRY = ("gram", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")
 
 
@@ -148,7 +163,7 @@ def _entries(first: DataFrame, levels) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            columns = [np.asarray(batch.column(k)) for k in range(5)]
+            node, n, p, last, index_last = (np.asarray(batch.column(k)) for k in range(5))
             grams = batch.column(5).flatten().to_numpy()
             lengths = batch.column(5).value_lengths().to_numpy()
             keep = sketch.may_repeat(often.value, grams.view(U64), bits)
@@ -158,74 +173,148 @@ def _entries(first: DataFrame, levels) -> DataFrame:
             alone_last = np.zeros(batch.num_rows, np.int64)
             np.maximum.at(alone_last, row[~keep], _keys(levels.value, grams.view(U64)[~keep]).view(np.int64))
             row, at, grams = row[keep], at[keep], grams[keep]
-            for a in range(0, len(row), 1 << 18):
-                r = row[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 18)]), *(pa.array(c[r].astype(np.int64)) for c in (*columns, alone, alone_last)), pa.array(at[a : a + (1 << 18)].astype(np.int64))], _ENTRY)
+            columns = (node, n, p, last >> _KEY_SHIFT, index_last >> _KEY_SHIFT, alone, alone_last >> _KEY_SHIFT)
+            for a in range(0, len(row), 1 << 17):
+                r = row[a : a + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 17)]), *(pa.array(c[r].astype(np.int64)) for c in columns), pa.array(at[a : a + (1 << 17)].astype(np.int64))], _ENTRY)
 
     rows = first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", "index_last", "grams")
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _ENTRY))
 
 
-def _member_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids of fixed size (8 MB): it may let others pass, but holds back no member."""
-    blocks = 1 << 10
-    width = (1 << _FILTER_BITS) // blocks
+def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of columns that have at most WIDE of them for certain, and all others (by a Bloom filter, so some narrow ones too)."""
+    wide = entries.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > WIDE).select("gram")
+    found, bits = sketch.members(written(wide))
+    shared = entries.sparkSession.sparkContext.broadcast(found)
+
+    def part(inside: bool):
+        def run(batches):
+            for batch in batches:
+                (own,) = sketch.number_keys(batch.select([0]))
+                yield batch.filter(pa.array(sketch.may_repeat(shared.value, own, bits) == inside))
+
+        return entries.mapInArrow(run, entries.schema)
+
+    return part(False), written(part(True))
+
+
+_PAIR = ("node_x", "node_y", "n_x", "n_y", "index_last_x", "last_y", "p_y")
+
+
+def _narrow_pairs(labelled: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (x the shorter row) that share an entry of a narrow column and may link, once for each such column."""
+    names = labelled.columns
 
     def run(batches):
-        bits: dict[int, np.ndarray] = {}
+        held = None
         for batch in batches:
-            for cell in np.unique(_filter_cells(np.asarray(batch.column(0)))).tolist():
-                bits.setdefault(cell // width, np.zeros(width, bool))[cell % width] = True
-        if bits:
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32()), pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())], ["block", "bits"])
+            if held is not None and held.num_rows:
+                batch = pa.concat_batches([held, batch])
+            gram = np.asarray(batch.column(0))
+            new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(1, int)
+            yield from multiplied(batch.slice(0, int(new[-1])))
+            held = batch.slice(int(new[-1]))
+        if held is not None:
+            yield from multiplied(held)
+
+    def multiplied(batch):
+        c = dict(zip(names, (np.asarray(x) for x in batch.columns)))
+        for step in range(1, WIDE):
+            i = np.flatnonzero(c["gram"][step:] == c["gram"][:-step])
+            if not len(i):
+                break
+            j = i + step
+            swap = (c["n"][j] < c["n"][i]) | ((c["n"][j] == c["n"][i]) & (c["node"][j] < c["node"][i]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            x, y = ({k: v[at] for k, v in c.items()} for at in (i, j))
+            need = -(-threshold * (x["n"] + y["n"]) // (100 + threshold))
+            least = np.minimum(x["n"] - np.where(x["alone_last"] < y["last"], x["alone"], 0), y["n"] - np.where(y["alone_last"] < x["last"], y["alone"], 0))
+            ahead = np.minimum(x["at"], y["at"]) + np.minimum(x["n"] - x["at"], y["n"] - y["at"])
+            fits = (x["node"] != y["node"]) & (x["component"] != y["component"]) & (x["at"] < index_length(x["n"], threshold)) & (least >= need) & (ahead >= need)
+            out = [x["node"], y["node"], x["n"], y["n"], x["index_last"], y["last"], y["p"]]
+            yield pa.RecordBatch.from_arrays([pa.array(v[fits]) for v in out], _PAIR)
+
+    return labelled.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, ", ".join(f"{c} long" for c in _PAIR))
+
+
+def _wide_pairs(labelled: DataFrame, threshold: int) -> DataFrame:
+    """As _narrow_pairs for columns of any width, by joins.
+
+    Only columns that hold several components give pairs; no pair lies in the largest
+    component of a column, so one side is always outside it.
+    """
+    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
+    several = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest")).where("parts > 1")
+    labelled = written(labelled.join(several.select("gram", F.col("largest.component").alias("largest")), "gram").withColumn("inside", F.col("component") == F.col("largest")).drop("largest"))
+    renamed = lambda s: labelled.select("gram", *[F.col(x).alias(f"{x}_{s}") for x in ("component", "inside", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")])
+    one, two = renamed("x").where(F.col("at_x") < _index_length("n_x", threshold)), renamed("y")
+    shorter = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    ahead = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    fits = shorter & (F.col("component_x") != F.col("component_y")) & _possible(threshold) & (ahead >= _need(threshold))
+    pairs = one.where("not inside_x").join(two, "gram").where(fits).unionByName(one.where("inside_x").join(two.where("not inside_y"), "gram").where(fits))
+    return pairs.select(*_PAIR)
 
-    out = np.zeros((blocks, width // 8), np.uint8)
-    cells = ids.select(F.col("id").cast("long").alias("id"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
-    for r in cells.repartition("part").select("id").mapInArrow(run, "block int, bits binary").collect():
-        out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
 
+def _need(threshold: int):
+    """The least overlap with which rows of n_x and n_y entries link."""
+    return F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
 
-def _filter_cells(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.astype(np.int64).view(U64))
-    return np.concatenate([(h >> U64(64 - _FILTER_BITS)).astype(np.int64), ((h << U64(_FILTER_BITS)) >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+
+def _index_length(n: str, threshold: int):
+    return F.col(n) - F.ceil(F.lit(2 * threshold) * F.col(n) / F.lit(100 + threshold) - 1e-9) + 1
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link, by full overlaps.  Only rows in pairs are read into sets again."""
+    """The pairs (a, b) that link, by full overlaps.  Only rows in pairs are read into sets again.
+
+    The set of a goes once to each block of its partners, the set of b to each a that
+    it meets; an a with very many partners has its blocks in many tasks.
+    """
     pairs = written(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_member_filter(ids))
+    inside, bits = sketch.members(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(inside)
 
     def sets(batches):
-        bits = shared.value
         for batch in batches:
-            column = batch.column(0).fill_null(0)
-            cells = _filter_cells(np.asarray(column)).reshape(2, -1)
-            inside = ((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(0)
-            kept = batch.filter(pa.array(inside))
-            out = [own.tobytes() for _, own in _rows(kept.column(1), k)]
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(out, pa.binary())], ["id", "grams"])
+            (own,) = sketch.number_keys(batch.select([0]))
+            kept = batch.filter(pa.array(sketch.may_repeat(shared.value, own, bits)))
+            at, out = [], []
+            for i, own in _rows(kept.column(1), k):
+                at.append(i)
+                out.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([kept.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["id", "grams"])
 
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, grams binary")
-    full = written(full.join(ids, "id", "left_semi").distinct())
-    joined = pairs.join(full.withColumnsRenamed({"id": "a", "grams": "left"}), "a").join(full.withColumnsRenamed({"id": "b", "grams": "right"}), "b").select("a", "b", "left", "right")
+    full = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, grams binary")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("blocks"))
+    dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).drop("blocks")
+    meets = dealt.select("a", "block", F.col("b").alias("id"), F.lit(1).alias("partner"))
+    meets = meets.unionByName(dealt.select("a", "block", F.col("a").alias("id"), F.lit(0).alias("partner")).distinct())
+    few = pairs.count() <= BROADCAST_PAIRS
+    joined = full.join(F.broadcast(meets) if few else meets, "id").select("a", "block", "partner", "id", "grams")
 
     def multiply(batches):
+        group, mine = None, []
         for batch in batches:
-            keep = []
-            kind, left = None, None
-            for x, y in zip(batch.column(2), batch.column(3)):
-                mine, other = x.as_buffer(), y.as_buffer()
-                if kind is None or not kind.equals(mine):
-                    kind, left = mine, np.frombuffer(mine, U64)
-                right = np.frombuffer(other, U64)
-                at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-                common = int((left[at] == right).sum())
-                keep.append(100 * common >= threshold * (len(left) + len(right) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for key, block, partner, other, grams in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+                own = np.frombuffer(grams.as_buffer(), U64)
+                if group != (key, block):
+                    group, mine = (key, block), []
+                if not partner:
+                    mine.append(own.copy())
+                elif any(_similar(x, own, threshold) for x in mine):
+                    a.append(key)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return joined.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(multiply, "a long, b long")
+
 
-    return joined.mapInArrow(multiply, "a long, b long")
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
 def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -241,45 +330,37 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     docs = docs.select("doc_id", "text")
     found = written(_sets(docs, k))
     sets = found.where("block is null").select("doc_id", "n", "k1", "k2")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(found.where("block is not null").select("block", "counts")))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(found.where("block is not null").select("block", "at", "counts")))
     live = sets.where("n > 0 and doc_id is not null")
     same = written(live.groupBy("k1", "k2", "n").agg(F.min("doc_id").cast("long").alias("node")))
 
     # the first product: prefixes only, each different row once
-    rows = _prefixes(docs.where("doc_id is not null"), levels, k, threshold)
-    first = written(rows.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    first = written(_prefixes(docs.where("doc_id is not null"), same.select("node"), levels, k, threshold))
     entries = written(_entries(first, levels))
+    dropped(first)
 
     # wide columns: multiply with their row of fewest lone n-grams, merge what links
+    narrow, wide = _split(entries)
     side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "last", "alone", "alone_last")]
-    hubs = entries.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("alone", "n", "node", "last", "alone_last")).alias("hub")).where(F.col("size") > WIDE)
-    hubs = written(hubs.select("gram", "hub.*").select("gram", *side("x")))
-    stars = entries.select("gram", *side("y")).join(hubs, "gram").where((F.col("node_x") != F.col("node_y")) & _possible(threshold))
+    hubs = wide.groupBy("gram").agg(F.min(F.struct("alone", "n", "node", "last", "alone_last")).alias("hub"))
+    hubs = hubs.select("gram", "hub.*").select("gram", *side("x"))
+    stars = wide.select("gram", *side("y")).join(hubs, "gram").where((F.col("node_x") != F.col("node_y")) & _possible(threshold))
     stars = stars.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     links = [written(_verified(stars, docs, k, threshold))]
-    label = written(components(links[0]))
-
-    # columns that still hold several components: all pairs across them, the shorter row by its index prefix.
-    # No pair lies in the largest component of a column, so one side is always outside it.
-    labelled = written(entries.join(label.withColumnsRenamed({"id": "node"}), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    several = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest")).where("parts > 1")
-    several = written(several.select("gram", F.col("largest.component").alias("largest")))
-    labelled = written(labelled.join(several, "gram").withColumn("inside", F.col("component") == F.col("largest")).drop("largest"))
-    renamed = lambda s: labelled.select("gram", *[F.col(x).alias(f"{x}_{s}") for x in ("component", "inside", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")])
-    one = renamed("x").withColumn("p_x", F.col("n_x") - F.ceil(F.lit(2 * threshold) * F.col("n_x") / F.lit(100 + threshold) - 1e-9) + 1).where("at_x < p_x")
-    two = renamed("y")
-    need = F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
-    shorter = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    ahead = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    fits = shorter & (F.col("component_x") != F.col("component_y")) & _possible(threshold) & (ahead >= need)
-    pairs = one.where("not inside_x").join(two, "gram").where(fits).unionByName(one.where("inside_x").join(two.where("not inside_y"), "gram").where(fits))
-    rest = F.when(F.col("index_last_x") <= F.col("last_y"), F.col("n_x") - F.col("p_x")).otherwise(F.col("n_y") - F.col("p_y"))
-    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "p_x", "p_y", "index_last_x", "last_y").agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= need)
+    label = written(components(links[0]).withColumnsRenamed({"id": "node"}))
+
+    # all columns: pairs of rows of different components, the shorter row by its index prefix
+    labelled = lambda e: e.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", *_ENTRY[1:], "component")
+    pairs = _narrow_pairs(labelled(narrow), threshold).unionByName(_wide_pairs(written(labelled(wide)), threshold))
+    left, right = F.col("n_x") - _index_length("n_x", threshold), F.col("n_y") - F.col("p_y")
+    rest = F.when(F.col("index_last_x") < F.col("last_y"), left).when(F.col("index_last_x") > F.col("last_y"), right).otherwise(F.greatest(left, right))
+    pairs = pairs.groupBy(*_PAIR).agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= _need(threshold))
     links.append(written(_verified(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), docs, k, threshold)))
+    dropped(entries, wide, label)
     label = written(components(links[0].unionByName(links[1])))
 
     of_set = written(same.join(label.withColumnsRenamed({"id": "node"}), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
+    dropped(same, label, *links)
     rest = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"))
     joined = live.join(of_set, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(rest)
@@ -291,9 +372,8 @@ def _possible(threshold: int):
     A lone n-gram of x is in no other prefix; where the prefix of y reaches beyond it
     in the order, it is not in the rest of y either.
     """
-    need = F.ceil(F.lit(threshold) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + threshold) - 1e-9)
-    most = lambda s, t: F.col(f"n_{s}") - F.when(F.col(f"alone_last_{s}") <= F.col(f"last_{t}"), F.col(f"alone_{s}")).otherwise(0)
-    return F.least(most("x", "y"), most("y", "x")) >= need
+    most = lambda s, t: F.col(f"n_{s}") - F.when(F.col(f"alone_last_{s}") < F.col(f"last_{t}"), F.col(f"alone_{s}")).otherwise(0)
+    return F.least(most("x", "y"), most("y", "x")) >= _need(threshold)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

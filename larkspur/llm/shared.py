@@ -2,9 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-from ..sources.shared import shared_folder, written
+from ..sources.shared import dropped, shared_folder, written
 
-__all__ = ["bounded_batches", "shared_folder", "written"]
+__all__ = ["bounded_batches", "dropped", "shared_folder", "written"]
 
 #: Arrow batches to and from Python workers, in bytes; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20

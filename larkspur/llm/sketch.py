@@ -100,7 +100,7 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
     counters = df.mapInArrow(count, "cell_row int, block int, once binary, more binary")
     merged = counters.repartition(parts, "cell_row", "block").mapInArrow(merge, "cell_row int, block int, bits binary")
     out = np.zeros((depth, (1 << bits) // width, width // 8), np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # of bounded size; a job for each partition would take longer
         out[r["cell_row"], r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(depth, -1)
 
