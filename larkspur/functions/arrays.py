@@ -54,17 +54,19 @@ def language_map(df: DataFrame, key: list[str], language: str, *values: str) ->
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays; 0 without variance."""
-    n = F.size(a)
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    ma, mb = mean(a), mean(b)
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
 
-    def add(s, p):
-        x, y = p["x"] - ma, p["y"] - mb
-        return F.struct((s["ab"] + x * y).alias("ab"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"))
+    def around(m):
+        def add(s, p):
+            x, y = p["x"] - m["a"], p["y"] - m["b"]
+            return F.struct((s["ab"] + x * y).alias("ab"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"))
 
-    return F.aggregate(pairs, zero, add, lambda s: F.when((s["aa"] <= 0) | (s["bb"] <= 0), 0.0).otherwise(s["ab"] / F.sqrt(s["aa"] * s["bb"])))
+        return F.aggregate(pairs, zero, add, lambda s: F.when((s["aa"] <= 0) | (s["bb"] <= 0), 0.0).otherwise(s["ab"] / F.sqrt(s["aa"] * s["bb"])))
+
+    # the means are bound once; inside the fold they would be computed for every element
+    return F.transform(F.array(F.struct(mean(a).alias("a"), mean(b).alias("b"))), around)[0]
 
 
 def upper_median(values: Column) -> Column:

@@ -24,8 +24,8 @@ def parsed_local(text: Column, now: Column, zone: str = ZONE) -> Column:
 
 def date_in_title(title: Column, year: Column, month: Column, now: Column, zone: str = ZONE) -> Column:
     """The date in a title, else the first of the listing's month, else now."""
-    own = F.regexp_extract(title, r"[0-9]{4}[/.][0-9]{1,2}[/.][0-9]{1,2}", 0)
-    local = F.try_to_timestamp(F.regexp_replace(own, "[.]", "/"), F.lit("yyyy/M/d"))
+    own = F.regexp_extract(title, r"[0-9]{4}[/年][0-9]{1,2}[/月][0-9]{1,2}", 0)
+    local = F.try_to_timestamp(F.regexp_replace(own, "[年月]", "/"), F.lit("yyyy/M/d"))
     fallback = F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     return F.coalesce(F.to_utc_timestamp(F.coalesce(local, fallback), zone), now)
 

@@ -56,13 +56,14 @@ def without_date_suffix(title: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), title)
 
 
-def mapped(value: Column, table: dict[str, str], default: Column | None = None) -> Column:
-    """A static lookup; unknown values give the default or null."""
-    found = F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), value)
+def mapped(value: Column, table: dict[str, str] | Column, default: Column | None = None) -> Column:
+    """A lookup in a dictionary or a map column; unknown values give the default or null."""
+    entries = table if isinstance(table, Column) else F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    found = F.try_element_at(entries, value)
     return found if default is None else F.coalesce(found, default)
 
 
-def storage_key(url: Column, hosts: dict[str, str]) -> Column:
+def storage_key(url: Column, hosts: dict[str, str] | Column) -> Column:
     """Canonical key of an image url: allowed hosts only, under their alias, without query or fragment; else null."""
     host = F.lower(extracted(url, r"^(?:https?:)?//([^/?#:]+)", 1))
     path = F.regexp_extract(url, r"^(?:https?:)?//[^/?#]+/*([^?#]*)", 1)
@@ -77,7 +78,7 @@ def upstream_url(key: Column, hosts: dict[str, str]) -> Column:
     return F.when(host.isNotNull(), F.concat(F.lit("https://"), host, F.lit("/"), F.substring(key, F.length(alias) + 2, F.length(key))))
 
 
-def rewritten_src(src: Column, hosts: dict[str, str], prefix: str = "/img/") -> Column:
+def rewritten_src(src: Column, hosts: dict[str, str] | Column, prefix: str = "/img/") -> Column:
     """Local path of an image; urls that are already local, or of other hosts, stay."""
     key = storage_key(src, hosts)
     return F.when(src.startswith(prefix) | key.isNull(), src).otherwise(F.concat(F.lit(prefix), key))
@@ -177,8 +178,9 @@ def page_urls(path: Column, languages: Column) -> Column:
     return F.transform(languages, lambda lang: F.concat(F.lit("/"), lang, path))
 
 
+#: Patterns of slugs, language codes and article ids.
 SLUG = "^[a-z0-9_]{1,64}$"
-LANGUAGE = "^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
+LANGUAGE = "^[a-z]{2,3}(-[A-Za-z0-9]{2,8})?$"
 ARTICLE_ID = "^[0-9a-f]{32}$"
 
 #: First bytes of image formats.
@@ -212,3 +214,25 @@ def first_unfinished(steps: Column) -> Column:
     """Name of the first step (array of structs ord, name, state) that is neither done nor skipped."""
     open_steps = F.filter(F.array_sort(steps), lambda s: ~s["state"].isin("done", "skipped"))
     return F.get(open_steps, 0)["name"]
+
+
+def resolved_refs(markup: Column, events: Column) -> Column:
+    """Numbered event marks with the attributes of the events (array of structs id, start, end; numbers from 1).
+
+    Null where a number is unknown or any event mark has another form: then the whole text counts as void.
+    """
+    mark = r'<event\s+n="(\d+)"\s*>'
+
+    def attributes(n):
+        e = F.get(events, n.cast("int") - 1)
+        end = F.coalesce(F.concat(F.lit(' end="'), e["end"], F.lit('"')), F.lit(""))
+        return F.concat(F.lit('<event id="'), e["id"], F.lit('" start="'), e["start"], F.lit('"'), end, F.lit(">"))
+
+    tags = F.transform(F.regexp_extract_all(markup, F.lit(mark), F.lit(1)), attributes)
+    out = F.array_join(F.zip_with(F.split(markup, mark, -1), tags, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
+    return F.when(F.exists(tags, lambda t: t.isNull()) | out.rlike(r'<event\b(?!\s+id=")'), None).otherwise(out)
+
+
+def without_fence(text: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*|\s*```$", "")

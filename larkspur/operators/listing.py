@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def conjunction(*conditions: Column | None) -> Column:
@@ -13,6 +15,16 @@ def conjunction(*conditions: Column | None) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
 
 
+def like_text(column: str, term: str) -> Column:
+    """The column holds the term, without regard to ASCII case; % and _ in the term keep their meaning as wildcards."""
+    return F.col(column).ilike(f"%{term}%")
+
+
+def within_key(column: str, key: str, separator: str = "#") -> Column:
+    """A composite key is this key, or one of its parts after the separator."""
+    return (F.col(column) == key) | F.col(column).startswith(key + separator)
+
+
 def clamped(limit: int | None, default: int, most: int) -> int:
     return max(1, min(limit if limit is not None else default, most))
 
@@ -75,15 +87,53 @@ def flagged(items: DataFrame, present: DataFrame, key: str, name: str) -> DataFr
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, text: str, term: str, most_terms: int = 100_000) -> DataFrame:
-    """Pairs of a text and a dictionary term that it contains.
+    """Pairs of a text and a dictionary term that it contains, with the columns of both.
 
-    The dictionary is broadcast only behind a check of its size; a larger one is
-    searched in slices by hash, each of bounded size.
+    Each text is read once, by one automaton of all terms, whatever their number.  The
+    dictionary is sent out only behind a check of its size; a larger one is searched
+    in slices by hash, each of bounded size.  Empty terms are in every text.
     """
-    n = terms.count()
-    slices = -(-max(n, 1) // most_terms)
-    parts = [terms if slices == 1 else terms.where(F.pmod(F.xxhash64(term), F.lit(slices)) == k) for k in range(slices)]
-    return reduce(DataFrame.unionByName, [texts.join(F.broadcast(p), F.expr(f"instr({text}, {term}) > 0")) for p in parts])
+    spark, kind = texts.sparkSession, texts.schema
+    words = terms.where(F.col(term).isNotNull()).select(F.col(term).alias("_term")).distinct()
+    slices = -(-max(words.count(), 1) // most_terms)
+    schema = StructType([*kind.fields, StructField("_term", StringType())])
+    at = texts.columns.index(text)
+    parts = []
+    for k in range(slices):
+        own = words if slices == 1 else words.where(F.pmod(F.xxhash64("_term"), F.lit(slices)) == k)
+        shared = spark.sparkContext.broadcast([r[0] for r in own.collect()])  # most_terms or about so many
+
+        def run(batches, shared=shared):
+            search = _term_search(shared.value)
+            for batch in batches:
+                rows, found = [], []
+                for i, value in enumerate(batch.column(at).to_pylist()):
+                    here = search(value) if value is not None else ()
+                    rows += [i] * len(here)
+                    found += here
+                some = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.string())], schema.names)
+
+        parts.append(texts.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts).join(terms, F.col("_term") == F.col(term)).drop("_term")
+
+
+def _term_search(terms: list[str]):
+    """A function that gives the different terms in a text, in any order."""
+    empty = [""] if "" in terms else []
+    terms = [t for t in terms if t]
+    try:
+        import ahocorasick
+    except ImportError:
+        known, lengths = set(terms), sorted({len(t) for t in terms})
+        return lambda text: empty + list({text[i : i + n] for i in range(len(text)) for n in lengths} & known)
+    automaton = ahocorasick.Automaton()
+    for t in terms:
+        automaton.add_word(t, t)
+    if not terms:
+        return lambda text: empty
+    automaton.make_automaton()
+    return lambda text: empty + list({t for _, t in automaton.iter(text)})
 
 
 def default_if_empty(df: DataFrame, default: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def one_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
@@ -104,13 +106,14 @@ def with_new_ids(target: DataFrame, keys: DataFrame, key: str, id: str = "id") -
 def _global_rank(df: DataFrame, key: str) -> DataFrame:
     """1-based ranks by key without one task for all rows: ranks inside ranges plus the sizes of earlier ranges.
 
-    Ranges are fixed quantiles of the key's hash order, so both passes agree.
+    Ranges follow the keys themselves, whatever prefix they share; rows are written
+    with their range once, so that both passes agree.
     """
-    bucket = F.substring(F.hex(F.encode(F.col(key).cast("string"), "UTF-8")), 1, 4)
-    marked = df.withColumn("_bucket", F.coalesce(bucket, F.lit("")))
+    ranged = df.withColumn("_key", F.encode(F.col(key).cast("string"), "UTF-8")).repartitionByRange("_key")
+    marked = written(ranged.withColumn("_bucket", F.spark_partition_id()))
     sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 65,537 rows at most
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.encode(F.col(key).cast("string"), "UTF-8")))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
     return marked.withColumn("_place", place).join(before, "_bucket").select(*df.columns, (F.col("_before") + F.col("_place")).alias("_rank"))
 
 
@@ -165,3 +168,47 @@ def remap_spans(previous: Column, spans: Column) -> Column:
 def wide_to_tall(df: DataFrame, key: list[str], columns: list[str], field: str = "field", value: str = "value") -> DataFrame:
     """One row for each non-null column of a row."""
     return df.unpivot(key, columns, field, value).where(F.col(value).isNotNull())
+
+
+def insert_with_children(parents: DataFrame, children: DataFrame, new: DataFrame, own: str, key: str, parent_key: str) -> tuple[DataFrame, DataFrame]:
+    """New parents and the rows of their array of structs `own`, together: (parents, children).
+
+    A batch that comes twice changes nothing: parents that are there already add no children either.
+    """
+    fresh = new.join(parents.select(key), key, "left_anti")
+    rows = fresh.select(F.col(key).alias(parent_key), F.explode(own).alias("_c")).select(parent_key, "_c.*")
+    return parents.unionByName(fresh.select(*parents.columns)), children.unionByName(rows.select(*children.columns))
+
+
+def ensured(target: DataFrame, keys: DataFrame, key: str, **defaults: Column) -> DataFrame:
+    """target with a row of defaults for each key that it lacks."""
+    missing = keys.select(key).distinct().join(target.select(key), key, "left_anti")
+    return target.unionByName(missing.select(key, *[v.alias(c) for c, v in defaults.items()]), allowMissingColumns=True)
+
+
+def without_keys(target: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """target without the rows of the given keys (or parts of keys)."""
+    return target.join(gone.select(*key).distinct(), key, "left_anti")
+
+
+def one_active(runs: DataFrame, item: list[str], active: tuple[str, ...], started: str, id: str, to: str = "terminated") -> DataFrame:
+    """Of several active runs of an item only the last started stays active (of equal ones the greatest id); the others are settled."""
+    is_active = F.col("status").isin(*active)
+    newest = runs.where(is_active).groupBy(*item).agg(F.max_by(id, F.struct(started, id)).alias("_newest"))
+    out = runs.join(newest, item, "left")
+    return out.withColumn("status", F.when(is_active & (F.col(id) != F.col("_newest")), to).otherwise(F.col("status"))).select(*runs.columns)
+
+
+def seeded_renders(sources: DataFrame, translations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First renders and files of an image model: an original for each mirrored source, a localized one for each finished url.
+
+    sources: (id, key, mirror_state, updated_at); translations: (source_id, language,
+    field, state, value, model, translated_at).  Render ids are source and language.
+    """
+    name = lambda source, language: F.concat_ws(":", source, F.coalesce(language, F.lit("original")))
+    null = F.lit(None).cast("string")
+    original = sources.where("mirror_state = 'done'").select(name(F.col("id"), null).alias("id"), F.col("id").alias("source_id"), null.alias("language"), null.alias("model"), F.col("updated_at").alias("created_at"), "key")
+    done = translations.where("field = 'url' and state = 'done'")
+    localized = done.select(name(F.col("source_id"), F.col("language")).alias("id"), "source_id", "language", "model", F.col("translated_at").alias("created_at"), F.col("value").alias("key"))
+    rows = original.unionByName(localized)
+    return rows.drop("key"), rows.select("key", F.col("id").alias("image_id"), F.lit(True).alias("is_primary"), "created_at")

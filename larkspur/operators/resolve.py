@@ -15,15 +15,15 @@ from .temporal import close_pairs, micros
 TOLERANCE = 2 * 86_400_000_000
 
 
-def connected(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(id, component): least reachable id for links (a, b), by label spreading with shortcuts.
 
     Every step is a join and a sum; its result is written to the shared folder, which cuts lineage.  The number of
-    steps grows with the logarithm of the longest chain.
+    steps grows with the logarithm of the longest chain; labels only fall, so it ends.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
-    for _ in range(max_steps):
+    while True:
         near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = label.join(near, "id").select("id", F.least("label", "near").alias("label"))
         jump = low.join(label.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"))
@@ -32,7 +32,6 @@ def connected(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         label = new
         if not changed:
             return label.select("id", F.col("label").alias("component"))
-    raise RuntimeError("labels still change")
 
 
 def same_and_close(events: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -43,12 +42,21 @@ def same_and_close(events: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 
 
 def first_occurrence(rows: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(pos, rep): for rows (pos, title, start, end) of one article, the first earlier row that is the same and close."""
+    """(pos, rep): for rows (pos, title, start, end), the first earlier row that is the same and close, or what that one stands for.
+
+    Each row points to its first match; the ends of the chains come by doubling, one
+    join a step.
+    """
     links = same_and_close(rows.withColumn("id", F.col("pos")), tolerance)
     earliest = links.groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("rep"))
-    rep = rows.select("pos").join(earliest, "pos", "left").withColumn("rep", F.coalesce("rep", "pos"))
-    onward = rep.select(F.col("pos").alias("rep"), F.col("rep").alias("rep2"))
-    return rep.join(onward, "rep").select("pos", F.col("rep2").alias("rep"))
+    rep = written(rows.select("pos").join(earliest, "pos", "left").withColumn("rep", F.coalesce("rep", "pos")))
+    while True:
+        onward = rep.select(F.col("pos").alias("rep"), F.col("rep").alias("rep2"))
+        step = written(rep.join(onward, "rep").select("pos", "rep", "rep2"))
+        moved = not step.where("rep <> rep2").isEmpty()
+        rep = step.select("pos", F.col("rep2").alias("rep"))
+        if not moved:
+            return rep
 
 
 def matched(extracted: DataFrame, pool: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -143,3 +151,55 @@ def within_budgets(due: DataFrame, polls: int, changes: int) -> DataFrame:
     taken = due.orderBy("next_check", "key").limit(polls)
     n = F.count_if("changed").over(Window.orderBy("next_check", "key").rowsBetween(Window.unboundedPreceding, 0))  # `polls` rows at most
     return taken.withColumn("outcome", F.when(~F.col("changed"), "unchanged").when(n <= changes, "rerun").otherwise("deferred"))
+
+
+def resolvable(extracted: DataFrame) -> DataFrame:
+    """The four forms of an extracted event in one shape (..., type, title, start, end).
+
+    extracted: (..., type, title, date, start, end, timestamp); marks have a timestamp,
+    all-day events a date, and neither has an end.
+    """
+    ranged = F.col("type").isin("multiDay", "span")
+    begin = F.when(ranged, F.col("start")).when(F.col("type") == "allDay", F.col("date")).otherwise(F.col("timestamp"))
+    rest = [c for c in extracted.columns if c not in ("date", "start", "end", "timestamp")]
+    return extracted.select(*rest, begin.alias("start"), F.when(ranged, F.col("end")).alias("end"))
+
+
+def judge_input(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """(article, payload): each article's open cases as JSON, numbered from 0 in order.
+
+    pairs: (article, order..., new, candidates) with structs for both.
+    """
+    cases = F.array_sort(F.collect_list(F.struct(*order, "new", "candidates")))
+    numbered = F.transform(cases, lambda x, i: F.struct(i.alias("id"), x["new"].alias("new"), x["candidates"].alias("candidates")))
+    return pairs.groupBy("article").agg(F.to_json(numbered).alias("payload"))
+
+
+def correlated(responses: DataFrame, languages: DataFrame) -> DataFrame:
+    """Batch responses (batch, pos, lang, ...) with the language of their metadata, else that of their place in the request (batch, langs)."""
+    return responses.join(languages, "batch").withColumn("lang", F.coalesce("lang", F.get("langs", F.col("pos")))).drop("langs")
+
+
+def article_results(bodies: DataFrame, event_titles: DataFrame) -> DataFrame:
+    """(item, success, fields): an article succeeds if every language's body does; titles of its events count as fields too.
+
+    bodies: (item, ok, fields); event_titles: (item, fields).
+    """
+    both = bodies.select("item", "ok", "fields").unionByName(event_titles.select("item", F.lit(True).alias("ok"), "fields"))
+    return both.groupBy("item").agg(F.bool_and("ok").alias("success"), F.sum("fields").alias("fields"))
+
+
+def fetched_fields(items: DataFrame) -> DataFrame:
+    """What a body fetch sets: (..., fetch, published, title).
+
+    items: (..., kind, has_tree, stored_published, found_published, found_title,
+    stored_title, fallback_title).  News with a tree are not fetched again; a topic keeps
+    its date; a guide's title is the found, the stored or the fallback one, others keep theirs.
+    """
+    guide = F.col("kind") == "playguide"
+    return items.select(
+        *[c for c in items.columns if c not in ("has_tree", "stored_published", "found_published", "found_title", "stored_title", "fallback_title")],
+        (~((F.col("kind") == "news") & F.col("has_tree"))).alias("fetch"),
+        F.when(F.col("kind") == "topic", F.coalesce("stored_published", "found_published")).otherwise(F.col("found_published")).alias("published"),
+        F.when(guide, F.coalesce("found_title", "stored_title", "fallback_title")).otherwise(F.col("stored_title")).alias("title"),
+    )

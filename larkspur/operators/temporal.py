@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField
+
+from .folds import sorted_fold
 
 
 def micros(t: str | Column) -> Column:
@@ -97,23 +100,17 @@ def overlap_clusters(df: DataFrame, partition: list[str], start: str, end: str,
 def lanes(df: DataFrame, cluster: list[str], start: str, end: str, key: str) -> DataFrame:
     """(cluster..., key, lane, lanes): first lane whose last end is not after the start, in order of start.
 
-    First fit needs the state of all earlier rows, which no window function has; a
-    fold over the sorted rows of a cluster computes it.  Clusters are short by
-    construction (they break at every gap), so partition by cluster first.
+    First fit needs the ends of all lanes so far, which no window function has: a
+    fold over the sorted rows of a cluster keeps one end for each lane.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(key).alias("k"), F.col(end).alias("e"))))
-    s_type = df.schema[end].dataType.simpleString()
-    k_type = df.schema[key].dataType.simpleString()
-    begin = F.struct(F.array().cast(f"array<{s_type}>").alias("ends"), F.array().cast(f"array<struct<key:{k_type},lane:int>>").alias("out"))
-
-    def place(a, r):
-        free = F.filter(F.transform(a["ends"], lambda e, i: F.when(e <= r["s"], i)), lambda i: i.isNotNull())
-        lane = F.coalesce(F.get(free, 0), F.size(a["ends"]))
-        ends = F.when(lane < F.size(a["ends"]), F.transform(a["ends"], lambda e, i: F.when(i == lane, r["e"]).otherwise(e))).otherwise(F.concat(a["ends"], F.array(r["e"])))
-        return F.struct(ends.alias("ends"), F.concat(a["out"], F.array(F.struct(r["k"].alias("key"), lane.cast("int").alias("lane")))).alias("out"))
-
-    folded = df.groupBy(*cluster).agg(F.aggregate(rows, begin, place).alias("_f"))
-    return folded.select(*cluster, F.explode("_f.out").alias("_o"), F.size("_f.ends").alias("lanes")).select(*cluster, F.col("_o.key").alias(key), F.col("_o.lane").alias("lane"), "lanes")
+
+    def place(ends, s, _, e):
+        lane = next((i for i, last in enumerate(ends) if last <= s), len(ends))
+        ends[lane : lane + 1] = [e]
+        return ends, (lane,)
+
+    packed = sorted_fold(df, cluster, [start, key], [end], [StructField("lane", IntegerType())], list, place)
+    return packed.withColumn("lanes", F.max("lane").over(Window.partitionBy(*cluster)) + 1).select(*cluster, key, "lane", "lanes")
 
 
 def day_agenda(events: DataFrame, day: Column, swimlane: str) -> DataFrame:

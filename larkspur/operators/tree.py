@@ -37,6 +37,7 @@ def _text(*names):
     return tuple((n, n.lower(), "text") for n in names)
 
 
+# Types, tags, attributes and fields of the markup as stored.
 KINDS: dict[str, Kind] = {
     "break": Kind("br", inline=True, void=True),
     "strong": Kind("strong", content="inline", inline=True),
@@ -501,3 +502,48 @@ def divergence(source: DataFrame, drifted: DataFrame, key: str) -> DataFrame:
 def batch_size_gate(markup: Column, most: int = 30_000) -> Column:
     """Bodies above this many characters take the batch path."""
     return F.length(markup) > most
+
+
+APPLIED = "state string, error string, tree string, stripped boolean, texts array<struct<src:string,spans:array<string>>>"
+
+
+def applied(source: list, reply: str) -> tuple:
+    """A translated body by its reply: (state, error, tree, stripped, texts).
+
+    The reply is read forgivingly; an empty or unreadable one fails.  Attributes that
+    drifted are put back, time and event marks go where their numbers differ, and the
+    texts of images leave the tree, with the image they belong to if the numbers agree.
+    """
+    try:
+        found = from_markup(reply, tolerant=True)
+    except ValueError:
+        return "failed", "the translated markup could not be read", None, False, []
+    if not found:
+        return "failed", "the translated body was empty", None, False, []
+    tree, _, divergent = reconciled(source, found)
+    strip = any(t in ("time", "event") for t in divergent)
+    if strip:
+        tree = stripped(tree)
+    own, other = ([n for n in walk(t) if isinstance(n, dict) and n["type"] == "image"] for t in (source, tree))
+    texts = [(a.get("src"), b["text"]) for a, b in zip(own, other) if a.get("text") and b.get("text")] if len(own) == len(other) else []
+    for n in other:
+        n.pop("text", None)
+    return "done", None, json.dumps(tree, ensure_ascii=False), strip, texts
+
+
+def applied_translations(df: DataFrame, source: str, reply: str) -> DataFrame:
+    """df with the columns of APPLIED for a source tree (JSON text) and the reply of a translator; null replies fail."""
+    made = StructType.fromDDL(APPLIED)
+    schema = StructType([*df.schema.fields, *made.fields])
+    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.struct([("src", pa.string()), ("spans", pa.list_(pa.string()))]))]
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            trees, replies = (batch.column(names.index(c)).to_pylist() for c in (source, reply))
+            rows = [applied(json.loads(t or "[]"), r or "") for t, r in zip(trees, replies, strict=True)]
+            cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in kinds]
+            cols[4] = [[{"src": a, "spans": b} for a, b in x] for x in cols[4]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -51,9 +51,14 @@ def overlap_clusters(spark, d):
     return rows.groupBy("user_id", "cluster").agg(F.min("start").alias("from"), F.max("end").alias("to"), F.count("*").alias("n"))
 
 
-@query()
+@query(_CLUSTERS.replace("with ", "with recursive ", 1) + """,
+o as (select user_id, cluster::bigint as cluster, event_id, start, "end" as e, row_number() over (partition by user_id, cluster order by start, event_id) as n from c),
+f as (select user_id, cluster, event_id, n, 0 as lane, [e] as ends from o where n = 1
+ union all select o.user_id, o.cluster, o.event_id, o.n, k - 1, case when k > len(ends) then list_append(ends, e) else list_transform(ends, lambda x, i: case when i = k then e else x end) end
+ from (select o.*, ends, coalesce(list_position(list_transform(ends, lambda x: x <= o.start), true), len(ends) + 1)::int as k from f join o on o.user_id = f.user_id and o.cluster = f.cluster and o.n = f.n + 1) o)
+select user_id, cluster, event_id, lane, max(lane) over (partition by user_id, cluster) + 1 as lanes from f""")
 def lane_packing(spark, d):
-    """First-fit lanes inside clusters; tested against a plain fold."""
+    """First-fit lanes inside clusters."""
     rows = T.overlap_clusters(_intervals(spark, d), ["user_id"], "start", "end", "event_id")
     return T.lanes(rows, ["user_id", "cluster"], "start", "end", "event_id")
 
@@ -93,11 +98,14 @@ def cluster_events(spark, d):
 
 
 @query("""
-select l_partkey as id, min(l_suppkey) as b from lineitem where l_suppkey <= 3 group by 1""")
+select distinct coalesce(p.survivor, l_partkey) as event_id, case l_returnflag when 'R' then 'topic' else 'news' end as source_type, l_suppkey as source_id
+from lineitem left join (select p_partkey, min(p_partkey) over (partition by p_name, p_brand) as survivor from part where p_size > 10) p on p_partkey = l_partkey""")
 def merged_links(spark, d):
-    """Links move to survivors and repeats vanish."""
-    links = load(spark, d, "lineitem").where("l_suppkey <= 3").select(F.col("l_partkey").alias("event_id"), F.lit("s").alias("source_type"), F.col("l_suppkey").alias("source_id"))
-    return links.groupBy(F.col("event_id").alias("id")).agg(F.min("source_id").alias("b"))
+    """Links of losers move to the survivors of their groups, and repeats vanish."""
+    links = load(spark, d, "lineitem").select(F.col("l_partkey").alias("event_id"), F.when(F.col("l_returnflag") == "R", "topic").otherwise("news").alias("source_type"), F.col("l_suppkey").alias("source_id"))
+    parts = load(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    survivors = parts.join(parts.groupBy("p_name", "p_brand").agg(F.min("id").alias("survivor")), ["p_name", "p_brand"]).select("id", "survivor")
+    return R.merged_links(links, survivors)
 
 
 @query("""
@@ -152,27 +160,27 @@ def recurrence_expand(spark, d):
 
 
 @query(_INTERVALS + """
-, x as (select * from i where user_id < 20 and start < timestamp '2024-01-11' and (start >= timestamp '2024-01-10' or "end" > timestamp '2024-01-10'))
+, x as (select * from i where start < timestamp '2024-01-11' and (start >= timestamp '2024-01-10' or "end" > timestamp '2024-01-10'))
 select event_id as id, case when start = "end" then 'milestone' else 'bar' end as section,
   round(least(greatest((epoch_us(start) - epoch_us(timestamp '2024-01-10')) / 86400000000.0, 0), 1), 9) as "from",
   round(least(greatest((epoch_us("end") - epoch_us(timestamp '2024-01-10')) / 86400000000.0, 0), 1), 9) as "to",
   start < timestamp '2024-01-10' as open_start, "end" > timestamp '2024-01-11' as open_end from x""")
 def day_agenda(spark, d):
     """One day's bars with fractions and open ends (lanes are tested against a plain fold)."""
-    rows = _intervals(spark, d).where("user_id < 20").select(F.col("event_id").alias("id"), F.lit("span").alias("type"), F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), F.col("user_id").alias("swimlane"))
+    rows = _intervals(spark, d).select(F.col("event_id").alias("id"), F.lit("span").alias("type"), F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), F.col("user_id").alias("swimlane"))
     out = T.day_agenda(rows, F.lit("2024-01-10").cast("date"), "swimlane")
     return out.select("id", "section", F.round("from", 9).alias("from"), F.round("to", 9).alias("to"), "open_start", "open_end")
 
 
 @query("""
-with s as (select user_id % 5 as content, event_type as icon, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as "end" from events where user_id % 5 < 3 group by all),
+with s as (select user_id % 5 as content, event_type as icon, date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as "end" from events group by all),
 b as (select *, case when icon is not distinct from lag(icon) over w and start is not distinct from lag("end") over w then 0 else 1 end as new from s window w as (partition by content, icon order by start)),
 r as (select *, sum(new) over (partition by content, icon order by start) as run from b)
 select content, icon, min(start) as "start", max("end") as "end" from r group by content, icon, run""")
 def icon_grid_runs(spark, d):
     """A calendar grid of icons, merged where days touch."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    grid = load(spark, d, "events").where("user_id % 5 < 3").select((F.col("user_id") % 5).alias("content"), F.col("event_type").alias("icon"), day.alias("start")).distinct()
+    grid = load(spark, d, "events").select((F.col("user_id") % 5).alias("content"), F.col("event_type").alias("icon"), day.alias("start")).distinct()
     grid = grid.withColumn("end", F.expr("start + interval 1 day"))
     return T.merged_runs(grid.withColumn("same", F.lit(1)), ["content", "icon"], ["start"], ["same"], "start", "end").select("content", "icon", "start", "end")
 

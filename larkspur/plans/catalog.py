@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _module in ("relational", "changes", "calendar", "scalars", "documents", "streams"):
+for _module in ("relational", "changes", "calendar", "scalars", "documents", "streams", "serving", "listpages", "control", "pieces"):
     import_module(f"larkspur.plans.{_module}")

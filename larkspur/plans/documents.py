@@ -20,7 +20,10 @@ def page_links(spark, d):
     return H.page_links(load(spark, d, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_PLAIN = "replace(replace({}, '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"select page_id, trim({_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) as title from pages")
 def page_title(spark, d):
     return load(spark, d, "pages").select("page_id", H.page_title("html").alias("title"))
 
@@ -31,21 +34,30 @@ def page_blocks(spark, d):
     return _trees(spark, d)
 
 
-@query()
+_TAGS = """
+with a as (select page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') as body from pages),
+t as (select page_id, type, len(regexp_extract_all(body, pattern)) as n from a, (values ('heading', '<h1>'), ('paragraph', '<p[ >]'), ('strong', '<b>'), ('break', '<br>'), ('text', '>[^<]+')) v(type, pattern))"""
+
+
+@query(_TAGS + "select page_id, type, n from t where n > 0")
 def node_type_counts(spark, d):
     nodes = T.node_table(_trees(spark, d), "page_id", "tree")
     return nodes.groupBy("page_id", "type").agg(F.count("*").alias("n"))
 
 
-@query("select page_id, true as valid, true as same from pages")
+@query(_TAGS + """
+select page_id, true as valid, true as same, max(n) filter (where type = 'heading') as headings, max(n) filter (where type = 'paragraph') as paragraphs, max(n) filter (where type = 'text') as texts from t group by page_id""")
 def tree_roundtrip(spark, d):
-    """Trees to markup and back, strictly: nothing is lost on any page."""
+    """Trees to markup and back, strictly: nothing is lost on any page, and what comes back has the page's tags."""
     trees = _trees(spark, d).withColumn("markup", T.markup_of("tree"))
-    back = T.tree_of("markup")
-    return trees.select("page_id", T.valid_tree("tree").alias("valid"), (T.markup_of(back) == F.col("markup")).alias("same"))
+    back = trees.select("page_id", T.valid_tree("tree").alias("valid"), "markup", T.tree_of("markup").alias("back"))
+    nodes = T.node_table(back, "page_id", "back").groupBy("page_id").agg(*[F.count_if(F.col("type") == t).alias(f"{t}s") for t in ("heading", "paragraph", "text")])
+    same = (T.markup_of("back") == F.col("markup")).alias("same")
+    return back.select("page_id", "valid", same).join(nodes, "page_id", "left")
 
 
-@query()
+@query(_TAGS + """
+select page_id, 'heading' as type, n as expected, n - 1 as found from t where type = 'heading'""")
 def attr_reconcile_report(spark, d):
     """Types whose counts differ between trees and trees without their first block."""
     trees = _trees(spark, d)
@@ -53,12 +65,20 @@ def attr_reconcile_report(spark, d):
     return T.divergence(nodes, nodes.where("path[0] > 0"), "page_id")
 
 
-@query()
+@query("select p_partkey as page_id, case when p_size % 2 = 0 then ['/a' || p_partkey || '.png', '/s.png'] else ['/s.png', '/a' || p_partkey || '.png'] end as images from part")
 def page_images(spark, d):
-    return _trees(spark, d).select("page_id", T.image_urls("tree").alias("images"))
-
-
-@query()
+    """Distinct sources of images and icons in reading order, on pages written from a table."""
+    own = F.concat(F.lit('<img src="/a'), "p_partkey", F.lit('.png">'))
+    icon = F.lit('<p>x <img class="ico_new" src="/s.png"> y</p>')
+    body = F.when(F.col("p_size") % 2 == 0, F.concat(own, icon, own)).otherwise(F.concat(icon, own, icon))
+    pages = load(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<article>"), body, F.lit("</article>")).alias("html"))
+    return pages.select("page_id", T.image_urls(H.page_tree("html")).alias("images"))
+
+
+@query(f"""
+with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) as href, unnest(regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1)) as title, unnest(range(100)) as pos from pages),
+i as (select page_id, href[2:] as id, trim({_PLAIN.format("title")}) as title, pos::int as pos, row_number() over (partition by page_id, href order by pos) as n from l where regexp_matches(href, '^/[A-Za-z0-9]+$'))
+select page_id, id, title, pos from i where n = 1 and title <> ''""")
 def listed_items(spark, d):
     """Items of list pages by the ids in their links."""
     return H.listed_items(H.page_links(load(spark, d, "pages"), "page_id", "html"), "page_id", "^/([A-Za-z0-9]+)$")

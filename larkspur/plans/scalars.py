@@ -27,24 +27,24 @@ def normalize_title(spark, d):
 
 
 @query("""
-select page_id, 'site/' || host || '/' || path as key, '/img/site/' || host || '/' || path as src from (
-  select page_id, lower(regexp_extract(url, '^(?:https?:)?//([^/?#:]+)', 1)) as host, regexp_extract(url, '^(?:https?:)?//[^/?#]+/*([^?#]*)', 1) as path from pages) where path <> ''
-union all select page_id, null, url from pages where regexp_extract(url, '^(?:https?:)?//[^/?#]+/*([^?#]*)', 1) = ''""")
+select page_id, key, coalesce('/img/' || key, url) as src from (select page_id, url, case when path <> '' and split_part(host, '.', -1) = 'com' then alias || '/' || path end as key from (
+  select page_id, url, host, 'c' || md5(host) as alias, regexp_extract(url, '^(?:https?:)?//[^/?#]+/*([^?#]*)', 1) as path from (select page_id, url, lower(regexp_extract(url, '^(?:https?:)?//([^/?#:]+)', 1)) as host from pages)))""")
 def url_canonical_key(spark, d):
-    """Storage keys without query and fragment, and rewritten sources."""
-    url = F.col("url")
-    host = F.lower(F.regexp_extract(url, r"^(?:https?:)?//([^/?#:]+)", 1))
-    path = F.regexp_extract(url, r"^(?:https?:)?//[^/?#]+/*([^?#]*)", 1)
-    key = F.when(path != "", F.concat_ws("/", F.lit("site"), host, path))
-    return load(spark, d, "pages").select("page_id", key.alias("key"), F.coalesce(F.concat(F.lit("/img/"), key), url).alias("src"))
+    """Storage keys of allowed hosts without query and fragment, and rewritten sources; every .com host of the table is allowed."""
+    pages = load(spark, d, "pages").select("page_id", "url")
+    host = F.lower(F.regexp_extract("url", r"^(?:https?:)?//([^/?#:]+)", 1))
+    hosts = pages.select(host.alias("host")).distinct().where("host like '%.com'")
+    table = hosts.agg(F.map_from_entries(F.collect_list(F.struct("host", F.concat(F.lit("c"), F.md5("host")).alias("alias")))).alias("hosts"))  # the allowed hosts, a setting
+    known = F.col("hosts")
+    return pages.crossJoin(F.broadcast(table)).select("page_id", X.storage_key(F.col("url"), known).alias("key"), X.rewritten_src(F.col("url"), known).alias("src"))
 
 
 @query("""
-select page_id, replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
-       regexp_replace(left(html, 300), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g') as collapsed from pages""")
+select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped,
+       regexp_replace(html, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g') as collapsed from pages""")
 def html_escape(spark, d):
-    head = F.substring("html", 1, 300)
-    return load(spark, d, "pages").select("page_id", X.escaped_attribute(head).alias("escaped"), X.collapsed_space(head).alias("collapsed"))
+    html = F.col("html")
+    return load(spark, d, "pages").select("page_id", X.escaped_attribute(html).alias("escaped"), X.collapsed_space(html).alias("collapsed"))
 
 
 @query("""
@@ -79,10 +79,10 @@ def ordered_concat(spark, d):
 
 
 @query("""
-select conv_id, floor((row_number() over (order by conv_id) - 1) / 25)::bigint as chunk from (select distinct conv_id from conversations) where conv_id < 200""")
+select conv_id, floor((row_number() over (order by conv_id) - 1) / 25)::bigint as chunk from (select distinct conv_id from conversations)""")
 def numbered_chunks(spark, d):
-    """A short list cut into numbered units of 25."""
-    ids = load(spark, d, "conversations").where("conv_id < 200").select("conv_id").distinct()
+    """Ids cut into numbered units of 25."""
+    ids = load(spark, d, "conversations").select("conv_id").distinct()
     return A.chunked(ids, "conv_id", 25).select("conv_id", "chunk")
 
 

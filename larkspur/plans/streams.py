@@ -77,16 +77,24 @@ def seq_guard(spark, d):
     return S.monotone_frames(frames, "user_id", "seq", "event_id").select("event_id", "user_id")
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id as id, ts as at, ts + to_minutes(floor(value)::bigint) as until, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select user_id, id, n, id as run, until from e where n = 1
+ union all select e.user_id, e.id, e.n, case when e.at >= f.until then e.id else f.run end, case when e.at >= f.until then e.until else f.until end from f join e on e.user_id = f.user_id and e.n = f.n + 1)
+select user_id, id, run from f""")
 def dedup_attach(spark, d):
-    """Starts that attach to the active run of their key; tested against a plain fold."""
+    """Starts that attach to the active run of their key."""
     e = load(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))).alias("until"))
     return S.attached_starts(e, ["user_id"])
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id as id, epoch_us(ts) as t, event_type = 'error' as force, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select user_id, id, n, t as last, true as accepted from e where n = 1
+ union all select user_id, id, n, case when ok then t else last end, ok from (select e.*, f.last, e.force or e.t - f.last >= 3600000000 as ok from f join e on e.user_id = f.user_id and e.n = f.n + 1))
+select user_id, id, accepted from f""")
 def cooldown(spark, d):
-    """Starts refused within an hour of the last accepted one; tested against a plain fold."""
+    """Starts refused within an hour of the last accepted one."""
     e = load(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), (F.col("event_type") == "error").alias("force"))
     return S.cooled_starts(e, ["user_id"], 3_600_000_000)
 

@@ -25,10 +25,10 @@ CLASSES = {
     "interview": r"box_interview",
     "speechBubble": r"hukiBox",
     "messageBox": r"msg030802_msgBox|inbox",
-    "ranking": r"rankbox|ranking_area0[1-2]",
-    "steps": r"step[1-5]|howto",
+    "ranking": r"rankbox|ranking_area01|ranking_area02",
+    "steps": r"step1|step2|step3|step4|step5|howto",
     "cautionList": r"tp_caution|tp_list",
-    "heading": r"title0[1-4]|title_icon0[1-2]|iconTitle|title_quest",
+    "heading": r"title01|title02|title03|title04|title_icon01|title_icon02|iconTitle|title_quest",
     "button": r"btn01|btn_square|btn_vt2013|btn_estore|btn_reservation",
     "figure": r"img_newspaper|newsImage",
     "divider": r"lineType1",
@@ -508,17 +508,18 @@ def list_page_url(base, page):
 def crawl_order(edges: DataFrame, start: str, most: int = 250) -> DataFrame:
     """(page, title, ord): pages in breadth-first order from a start, at most `most` of them.
 
-    edges: (src, pos, dst, title).  The crawl itself is bounded by `most` pages, so
-    the frontier fits the driver; edges of a level come from one filtered read.
+    edges: (src, pos, dst, title).  The crawl itself is bounded by `most` pages: each
+    level is one join and one sum, of which only the pages that are still wanted come
+    to the driver.
     """
+    spark = edges.sparkSession
     seen, order, level = {start: None}, [start], [start]
     while level and len(order) < most:
-        rows = edges.where(F.col("src").isin(level)).select("src", "pos", "dst", "title").collect()
-        rank = {p: i for i, p in enumerate(level)}
+        here = spark.createDataFrame([(p, i) for i, p in enumerate(level)], "src string, rank int")  # `most` rows at most
+        first = edges.join(F.broadcast(here), "src").where(~F.col("dst").isin(list(seen))).groupBy("dst").agg(F.min(F.struct("rank", "pos", "title")).alias("f"))
         level = []
-        for r in sorted(rows, key=lambda r: (rank[r["src"]], r["pos"])):
-            if r["dst"] not in seen and len(order) < most:
-                seen[r["dst"]] = r["title"]
-                order.append(r["dst"])
-                level.append(r["dst"])
-    return edges.sparkSession.createDataFrame([(p, seen[p], i) for i, p in enumerate(order)], "page string, title string, ord int")
+        for r in first.orderBy("f.rank", "f.pos").limit(most - len(order)).collect():
+            seen[r["dst"]] = r["f"]["title"]
+            order.append(r["dst"])
+            level.append(r["dst"])
+    return spark.createDataFrame([(p, seen[p], i) for i, p in enumerate(order)], "page string, title string, ord int")

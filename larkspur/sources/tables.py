@@ -22,7 +22,7 @@ def _schema(key: str, /, **columns) -> T.StructType:
 
 _BODY = {"blocks_ja": _TEXT, "body_fetched_at": _TIME, "body_checked_at": _TIME, "body_changed_at": _TIME}
 
-#: The fifteen stored tables.  Trees and spans are JSON text; instants are UTC timestamps.
+#: Names of the fifteen stored tables and their columns.  Trees and spans are JSON text; instants are UTC timestamps.
 SCHEMAS: dict[str, T.StructType] = {
     "news_items": _schema("id title_ja category published_at", id=_TEXT, title_ja=_TEXT, category=_TEXT, published_at=_TIME, **_BODY),
     "topics": _schema("id published_at title_ja", id=_TEXT, published_at=_TIME, title_ja=_TEXT, category=_TEXT, **_BODY),
@@ -41,6 +41,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "banners": _schema("id image_key active", id=_LONG, image_key=_TEXT, link_url=_TEXT, link_topic_id=_TEXT, alt_ja=_TEXT, sort_order=_INT, published_at=_TIME, active=_BOOL, updated_at=_TIME),
 }
 
+#: States and event types as stored.
 STATES = ("pending", "running", "done", "failed")
 EVENT_TYPES = ("multiDay", "allDay", "span", "mark")
 

@@ -1,6 +1,7 @@
 """Folds and streams against plain Python twins."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -107,6 +108,22 @@ def test_stream_equals_batch(spark, tmp_path):
         assert (last[run]["steps"], last[run]["status"]) == (want, t.status)
 
 
+def test_stream_forgets_settled_runs(spark, tmp_path):
+    """After the retention a settled run begins anew; one that is still active keeps its units."""
+    source, check = f"{tmp_path}/in", f"{tmp_path}/check"
+    rows = lambda k: [("a", k, "unit", "translate", f"u{k}", None, None, None), ("b", k, "unit", "translate", f"u{k}", None, None, None), ("a", k + 10, "status", None, None, None, None, "complete")]
+    for k in range(3):
+        spark.createDataFrame(rows(k), runs.REPORT).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(runs.REPORT).option("maxFilesPerTrigger", 1).parquet(source)
+    q = runs.snapshot_stream(stream, [("translate", "units")], retention_ms=0).writeStream.outputMode("update").format("memory").queryName("forgetful").option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    units = {}
+    for r in spark.sql("select * from forgetful order by seq").collect():
+        units.setdefault(r["run_id"], []).append(int(r["steps"].split(":")[3]))
+    assert units == {"a": [1, 1, 1], "b": [1, 2, 3]}
+
+
 def test_with_new_ids_is_stable(spark):
     target = spark.createDataFrame([("b", 7)], "key string, id long")
     keys = spark.createDataFrame([("c",), ("a",), ("b",), ("é",), ("ab",)], "key string")
