@@ -43,6 +43,9 @@ CUES = r"(?i)(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|card|visa|credit|
 LABELERS = 4
 EM_STEPS = 25
 _AROUND = 16
+#: Matches whose places are summed up one by one, and code points of the pieces that a long text is cut into.
+_BLOCK = 128
+_PIECE = 256
 
 
 def _luhn(value: Column) -> Column:
@@ -69,17 +72,34 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where a lambda inside the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of _PIECE code points: a place far inside is found without counting from the beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, begin: Column, end: Column) -> Column:
+    """Code points begin to end, exclusive, of the text."""
+    first = F.floor(begin / _PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor(end / _PIECE).cast("int") - first + 1)
+    return F.when(end > begin, F.substring(F.array_join(some, ""), begin % _PIECE + 1, end - begin)).otherwise("")
+
+
 def _matches(text: Column, k: int) -> Column:
-    """array<struct<start, k, end, value, left, right>> of one kind, in code points.
+    """array<struct<start, k, end, value>> of one kind, in code points.
 
-    Matches and the pieces between them give the positions: a match begins after
-    all earlier pieces and matches.
+    Matches and the pieces between them give the positions: a match begins after all
+    earlier pieces and matches.  Lengths are summed up in blocks, then over blocks.
     """
     kind, pattern, needs = KINDS[k]
     empty = F.lit(None).cast("array<struct<start:int,k:int,end:int,value:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,value:string>>").alias("spans"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,value:string>>").alias("spans"))
 
     def add(s, x):
         begin = s["at"] + F.length(x["gap"])
@@ -87,8 +107,18 @@ def _matches(text: Column, k: int) -> Column:
         span = F.struct(begin.alias("start"), F.lit(k).alias("k"), end.alias("end"), x["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
 
+    def in_blocks(pairs):
+        last = F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)), none, add))
+
+    def shifted(blocks):
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        offsets = F.aggregate(blocks, begin, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
+        move = lambda s, by: F.struct((s["start"] + by).alias("start"), s["k"].alias("k"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, by: F.transform(b["spans"], lambda s: move(s, by))))
+
     pairs = F.filter(F.zip_with(pieces, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"))), lambda x: x["match"].isNotNull())
-    spans = F.filter(F.aggregate(pairs, state, add)["spans"], lambda s: _valid(kind, s["value"]))
+    spans = F.filter(_let(_let(pairs, in_blocks), shifted), lambda s: _valid(kind, s["value"]))
     here = F.regexp_like(text, F.lit(pattern))
     if needs:
         here = text.contains(needs) & here
@@ -99,20 +129,24 @@ def candidates(text: Column) -> Column:
     """All candidate spans of a text with the characters around them, by start and kind."""
     none = F.array().cast("array<struct<start:int,k:int,end:int,value:string>>")
     spans = F.concat(*[F.coalesce(_matches(text, k), none) for k in range(len(KINDS))])
-    return F.when(
-        F.size(spans) > 0,
-        F.transform(
-            F.array_sort(spans),
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["k"].alias("k"),
-                s["end"].alias("end"),
-                s["value"].alias("value"),
-                F.substring(text, F.greatest(s["start"] - _AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(_AROUND))).alias("left"),
-                F.substring(text, s["end"] + 1, F.lit(_AROUND)).alias("right"),
-            ),
-        ),
-    )
+
+    def placed(found):
+        def around(pieces):
+            return F.transform(
+                F.array_sort(found),
+                lambda s: F.struct(
+                    s["start"].alias("start"),
+                    s["k"].alias("k"),
+                    s["end"].alias("end"),
+                    s["value"].alias("value"),
+                    _between(pieces, F.greatest(s["start"] - _AROUND, F.lit(0)), s["start"]).alias("left"),
+                    _between(pieces, s["end"], s["end"] + _AROUND).alias("right"),
+                ),
+            )
+
+        return F.when(F.size(found) > 0, _let(_pieces(text), around))
+
+    return _let(spans, placed)
 
 
 def _votes(s: Column) -> list[Column]:
@@ -229,20 +263,38 @@ def find(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFra
     return marked.withColumn(spans, F.filter(spans, lambda s: _accepted(s, weights)))
 
 
+def _running_ends(spans: Column) -> Column:
+    """The greatest end of the spans up to each one, in blocks like the places of matches."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def add(a, end):
+        return F.struct(F.greatest(a["at"], end).alias("at"), F.concat(a["all"], F.array(F.greatest(a["at"], end))).alias("all"))
+
+    def in_blocks(ends):
+        last = F.floor((F.size(ends) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(ends, b * _BLOCK + 1, F.lit(_BLOCK)), none, add))
+
+    def joined(blocks):
+        before = F.aggregate(blocks, none, lambda a, b: F.struct(F.greatest(a["at"], b["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, least: F.transform(b["all"], lambda end: F.greatest(end, least))))
+
+    return _let(_let(F.transform(spans, lambda s: s["end"]), in_blocks), joined)
+
+
 def masked(text: Column, spans: Column) -> Column:
     """text with each accepted span replaced by its kind in angle brackets; of overlapping spans the first counts."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k, _, _ in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(a, s):
-        return F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["k"] + 1)).alias("out"))
-        )
+    def filled(x):
+        # a span that begins inside an earlier one adds no name, but what it covers goes too
+        reach = lambda i: F.when(i > 0, x["ends"][i - 1]).otherwise(F.lit(0))
+        put = lambda s, i: F.when(s["start"] >= reach(i), F.concat(_between(x["pieces"], reach(i), s["start"]), F.element_at(names, s["k"] + 1))).otherwise("")
+        return F.concat(F.array_join(F.transform(x["spans"], put), ""), _between(x["pieces"], F.element_at(x["ends"], -1), x["size"]))
+
+    def prepared(s):
+        return F.struct(s.alias("spans"), _running_ends(s).alias("ends"), _pieces(text).alias("pieces"), F.length(text).alias("size"))
 
-    return F.when(
-        F.coalesce(F.size(spans), F.lit(0)) > 0,
-        F.aggregate(spans, begin, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))),
-    ).otherwise(text)
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, _let(_let(spans, prepared), filled)).otherwise(text)
 
 
 def _of_kind(spans: Column, k: int) -> Column:
