@@ -30,6 +30,8 @@ SIMILARITY = 0.8
 BITS = 128
 #: Expected distance at similarity 0.8 is 0.15 * 128 = 19.5, with a deviation of 4: three deviations above.
 RADIUS = 32
+#: Begins of windows, and shingles, that are turned into votes at once (8 MB).
+STRETCH = 1 << 13
 #: Characters of item text in one broadcast slice.
 SLICE_CHARS = 16 << 20
 
@@ -149,19 +151,15 @@ class Items:
         for size in np.unique(self.sizes[touched]) if len(touched) else []:
             size = int(size)
             width = max(1, min(size, len(words)) - SHINGLE + 1)  # shingles of a window
-            last = len(shingles) - width
-            begins = np.unique(np.clip((hits[:, None] - np.arange(width)[None, :]).ravel(), 0, max(last, 0)))
-            lo, hi = int(begins[0]), int(begins[-1]) + width
-            # the fingerprints of all windows from running sums, in stretches of bounded size
-            for a in range(0, len(begins), 4096):
-                some = begins[a : a + 4096]
-                for run in np.split(some, np.flatnonzero(np.diff(some) > 4 * width) + 1):
-                    lo, hi = int(run[0]), int(run[-1]) + width
-                    part = shingles[lo:hi]
-                    sums = np.zeros((len(part) + 1, BITS))
-                    np.cumsum(_signs(part) * self.weights(part)[:, None], axis=0, out=sums[1:])
-                    prints = sums[run - lo + width] - sums[run - lo] > 1e-9
-                    self._verify(best, prints, run, size, width, shingles, len(words))
+            last = max(len(shingles) - width, 0)
+            # the windows that hold a hit, as one mark for each begin of the text
+            steps = np.zeros(last + 2, np.int32)
+            np.add.at(steps, np.clip(hits - width + 1, 0, last), 1)
+            np.add.at(steps, np.minimum(hits, last) + 1, -1)
+            begins = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+            # stretches of bounded size; those with a wide gap between windows are cut there
+            for some in np.split(begins, np.flatnonzero((np.diff(begins) > 4 * width) | (np.diff(begins // STRETCH) > 0)) + 1):
+                self._verify(best, self._window_prints(shingles, some, width), some, size, width, shingles, len(words))
         for size in self.short:
             if len(words) < size:
                 continue
@@ -172,10 +170,24 @@ class Items:
                         best[int(item)] = (1.0, int(begin), size)
         return best
 
+    def _window_prints(self, shingles: np.ndarray, begins: np.ndarray, width: int) -> np.ndarray:
+        """Fingerprints of windows of `width` shingles: the first by its sum, the others by what enters and leaves."""
+
+        def votes(lo: int, hi: int) -> np.ndarray:
+            part = shingles[lo:hi]
+            return _signs(part) * self.weights(part)[:, None]
+
+        first, n = int(begins[0]), int(begins[-1] - begins[0])
+        total = sum((votes(a, min(a + STRETCH, first + width)).sum(0) for a in range(first, first + width, STRETCH)), np.zeros(BITS))
+        sums = np.zeros((n + 1, BITS))
+        if n:
+            np.cumsum(votes(first + width, first + width + n) - votes(first, first + n), axis=0, out=sums[1:])
+        return total + sums[begins - first] > 1e-9
+
     def _verify(self, best, prints, begins, size, width, shingles, n_words) -> None:
         for row, item in zip(*self.near(prints, size), strict=True):
             begin, item = int(begins[row]), int(item)
-            score = self.similar(shingles[begin : begin + width], item)
+            score = round(self.similar(shingles[begin : begin + width], item), 9)  # equal windows stay equal whatever the order of sums
             if score >= self.similarity and score > best.get(item, (0.0,))[0]:
                 best[item] = (score, begin, min(size, n_words))
 
