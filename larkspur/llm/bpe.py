@@ -23,6 +23,7 @@ from .shared import bounded_batches
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _EDGE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 _LONG_SPACE = re.compile(f"[{_SPACE}]{{4096,}}")
+_ONLY_SPACE = re.compile(f"[{_SPACE}]+")
 
 #: Texts longer than this many characters are cut at safe boundaries.
 SPLIT_CHARS = 1 << 16
@@ -82,7 +83,7 @@ class Codec:
             return self.encoding.encode_ordinary(text)
         ids: list[int] = []
         for piece in safe_pieces(text):
-            if len(piece) >= 4096 - 1 and piece.isspace():
+            if len(piece) >= 4096 - 1 and _ONLY_SPACE.fullmatch(piece):
                 ids += self.encoding._encode_single_piece(piece)
             else:
                 ids += self.encoding.encode_ordinary(piece)

@@ -56,11 +56,11 @@ def permuted(row: Column, n: int, seed: int = 0) -> Column:
 def row_numbers(df: DataFrame, keys: list[str], number: str = "row_number") -> tuple[DataFrame, int]:
     """df with dense global numbers from 0, and the number of rows.
 
-    The first key picks a hash bucket; all keys order the rows of a bucket.  Rows
-    that agree in all keys take adjacent numbers.  Reads only the first key to
-    count buckets; at most BUCKETS counts reach the driver.
+    All keys together pick a hash bucket and order the rows of a bucket, so no single
+    id, null or not, fills a bucket.  Rows that agree in all keys take adjacent
+    numbers.  At most BUCKETS counts reach the driver.
     """
-    bucket = F.pmod(F.xxhash64(keys[0]), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
     counts = dict(df.groupBy(bucket.alias("bucket")).count().collect())
     offsets, total = [], 0
     for k in range(BUCKETS):
@@ -76,7 +76,7 @@ def shard(df: DataFrame, shards: int, seed: int = 0, doc_id: str = "doc_id", tex
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: shard counts differ by one at most and slots have no gap.
-    Null text counts as empty; null ids share a bucket; repeated rows take places
+    Null text counts as empty; null ids are as good as any; repeated rows take places
     of their own; fewer rows than shards leave the last shards empty; an empty
     table gives an empty result.  Extra columns are not read.
     """
