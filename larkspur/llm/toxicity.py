@@ -27,6 +27,10 @@ from .words import U64, Words, mix, text_chunks
 SAMPLE = 3000
 #: Word features of each category, at most.
 FEATURES = 4096
+#: Labelled rows that must hold a feature, at least.
+LEAST = 3
+#: Parts of the features that are counted one after the other.
+_PARTS = 16
 FOLDS = 5
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
@@ -121,6 +125,34 @@ class Chain:
         return out
 
 
+def _telling(every: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The features whose share differs most between the labels of a category, sorted; worked out part by part, which bounds memory."""
+    values, scores = [], []
+    for part in range(_PARTS):
+        own = np.flatnonzero(every % U64(_PARTS) == U64(part))
+        v, of = np.unique(every[own], return_inverse=True)
+        total = np.bincount(of, minlength=len(v))
+        z = np.zeros((labels.shape[1], len(v)))
+        for k, y in enumerate(labels.T):
+            yes, n1 = np.bincount(of, y[owner[own]], len(v)), y.sum()
+            n0 = len(y) - n1
+            if n1 and n0:
+                share = total / len(y)
+                z[k] = (yes / n1 - (total - yes) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+        z[:, total < LEAST] = 0
+        some = (np.abs(z) >= 4).any(0)
+        values.append(v[some])
+        scores.append(z[:, some])
+    values, scores = np.concatenate(values), np.concatenate(scores, 1)
+    order = np.argsort(values)
+    values, scores = values[order], np.abs(scores[:, order])
+    chosen = np.zeros(len(values), bool)
+    for z in scores:
+        good = np.flatnonzero(z >= 4)
+        chosen[good[np.argsort(-z[good], kind="stable")[:FEATURES]]] = True
+    return values[chosen]
+
+
 def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], shift: float = 0.0, names=tuple(n for n, _ in CHAIN)) -> Chain:
     """Fit the chain on (feature hashes, category labels) of the sample.
 
@@ -129,25 +161,19 @@ def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], shift: float = 0.0, nam
     share of the classes in the sample.
     """
     labels = np.array([y for _, y in rows], float)
-    lengths = [len(x) for x, _ in rows]
     every = np.concatenate([x for x, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    values, of = np.unique(every, return_inverse=True)
-    total = np.bincount(of, minlength=len(values))
-    chosen = np.zeros(len(values), bool)
-    for k in range(labels.shape[1]):
-        y = labels[:, k]
-        yes, n1 = np.bincount(of, y[owner], len(values)), y.sum()
-        n0 = len(y) - n1
-        if not n1 or not n0:
-            continue
-        share = total / len(y)
-        z = (yes / n1 - (total - yes) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-        good = np.flatnonzero((np.abs(z) >= 4) & (total >= 3))
-        chosen[good[np.argsort(-np.abs(z[good]), kind="stable")[:FEATURES]]] = True
-    number = np.cumsum(chosen) - 1
-    inside = chosen[of]
-    row, col, width = owner[inside], number[of[inside]], int(chosen.sum())
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x, _ in rows])
+    known = _telling(every, owner, labels)
+    row, col = [], []
+    for a in range(0, len(every) if len(known) else 0, 1 << 20):
+        some = every[a : a + (1 << 20)]
+        at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+        hit = known[at] == some
+        row.append(owner[a : a + (1 << 20)][hit])
+        col.append(at[hit])
+    del every, owner
+    row, col = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (row, col))
+    width = len(known)
     fold = np.arange(len(rows)) % FOLDS
     dense, weights = np.ones((len(rows), 1)), []
     for k in range(labels.shape[1]):
@@ -158,7 +184,7 @@ def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], shift: float = 0.0, nam
             w = fit(x.some(fold != f), y[fold != f])
             unseen[fold == f] = _sigmoid(x.some(fold == f).scores(w) + shift)
         dense = np.c_[_logit(unseen), dense]
-    return Chain(values[chosen], weights, tuple(names), shift)
+    return Chain(known, weights, tuple(names), shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
@@ -193,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
     if not any(r["y"][1] for r in rows) or all(r["y"][1] for r in rows):
         return None
     # the intercept of a sample with other class shares than the labels'
-    seen = {1: min(sample, counts[1]), 0: min(sample, counts[0])}
+    toxic = sum(r["y"][1] for r in rows)
+    seen = {1: toxic, 0: len(rows) - toxic}
     shift = float(np.log(counts[1] / counts[0]) - np.log(seen[1] / seen[0]))
     return fit_chain([(np.frombuffer(r["x"], U64), r["y"]) for r in rows], shift)
 
