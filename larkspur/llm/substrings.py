@@ -5,8 +5,10 @@ hash of the 8-word runs in it.  Equal windows have equal minimizers at equal pla
 so a window that repeats has a minimizer that occurs twice or more; each task counts
 the places that are minimizers of some window (about a sixth of all words) and
 merged counters overestimate the count of any window: none that repeats is lost.
-The counters have a fixed bound; a larger corpus is worked on in several slices of
-the minimizers, each with a sketch of its own, so the sketch never fills up.
+The counters have a fixed bound.  For a corpus with more minimizers than a sketch can
+hold apart, the minimizers are written once, in slices by hash; each slice has a
+sketch of its own, and the minimizers that pass go back to their texts.  So the
+sketch never fills up, and texts are cut twice whatever the number of slices.
 
 Second pass: only windows estimated to repeat are grouped, by minimizer and an
 independent hash of all 20 words, 128 bits together.  Neighbouring windows with one
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import bounded_batches, written
+from .shared import bounded_batches, dropped, written
 from .words import U64, Words, bytes_buffer, mix, runs_of, text_chunks
 
 WINDOW = 20
@@ -67,14 +69,15 @@ def _chunks(column: pa.Array, k: int):
 
 
 def _minimizers(column: pa.Array, k: int):
-    """The keys that the sketch counts: each place whose run is the minimizer of some window, once."""
-    for _, _, grams, mins, width in _chunks(column, k):
+    """(rows, keys) that the sketch counts: each place whose run is the minimizer of some window, once."""
+    for lo, words, grams, mins, width in _chunks(column, k):
         most = _slide(np.pad(mins, width - 1), width, np.maximum)
-        yield grams[grams == most]
+        at = np.flatnonzero(grams == most)
+        yield lo + np.searchsorted(words.first, at, "right") - 1, grams[at]
 
 
-def _of_slice(keys: np.ndarray, number: int, slices: int) -> np.ndarray:
-    return mix(keys ^ U64(0xA0761D6478BD642F)) % U64(slices) == U64(number)
+def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (mix(keys ^ U64(0xA0761D6478BD642F)) % U64(slices)).astype(np.int64)
 
 
 def first_copies(docs: DataFrame) -> tuple:
@@ -95,7 +98,9 @@ def first_copies(docs: DataFrame) -> tuple:
     shared = written(keys.mapInArrow(some, keys.schema))
     firsts = written(shared.groupBy("hash", "sum").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))
     later = shared.join(firsts.where("copies > 1"), ["hash", "sum"]).where(F.col("doc") > F.col("first")).select("doc", "row").distinct()
-    return (often, bits, *_broadcast_members(firsts.select("first"))), written(later)
+    later, members = written(later), _broadcast_members(firsts.select("first"))
+    dropped(keys, shared, firsts)
+    return (often, bits, *members), later
 
 
 def _broadcast_members(numbers: DataFrame) -> tuple:
@@ -136,10 +141,12 @@ def _covered(doc, row, start) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array(start[at]), pa.array((start[last] - start[at] + 1).astype(np.int32))], ["doc", "row", "start", "n"])
 
 
-def _candidates(docs: DataFrame, copies: tuple, often, bits: int, number: int, slices: int, k: int) -> DataFrame:
-    """(key, doc, row, start, n, windows) for docs (doc, text, row, hash): n neighbouring windows of one minimizer that may repeat.
+def _candidates(docs: DataFrame, select, k: int) -> DataFrame:
+    """(key, doc, row, start, n, windows) for docs (doc, text, row, ...): n neighbouring windows of one minimizer that may repeat.
 
-    Those that the task has decided to be later ones have no windows and any key.
+    select(batch) gives the rows to cut and a function of minimizers and their rows
+    that tells which may repeat.  Windows that the task has decided to be later ones
+    come without hashes and with any key.
     """
     names = ["key", "doc", "row", "start", "n", "windows"]
 
@@ -147,17 +154,14 @@ def _candidates(docs: DataFrame, copies: tuple, often, bits: int, number: int, s
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            batch = batch.filter(pa.array(_cut(copies, np.asarray(batch.column(0)), np.asarray(batch.column(3)))))
+            batch, may_repeat = select(batch)
             docs_of, rows_of = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for lo, words, _, mins, _ in _chunks(batch.column(1), k):
                 at = np.flatnonzero(mins)
                 if not len(at):
                     continue
                 begins, lengths = _segments(mins[at[1:]] == mins[at[:-1]], len(at))
-                heads = mins[at[begins]]
-                keep = sketch.may_repeat(often.value, heads, bits)
-                if slices > 1:
-                    keep &= _of_slice(heads, number, slices)
+                keep = may_repeat(mins[at[begins]], lo + np.searchsorted(words.first, at[begins], "right") - 1)
                 at = at[np.repeat(keep, lengths)]
                 if not len(at):
                     continue
@@ -182,9 +186,7 @@ def _candidates(docs: DataFrame, copies: tuple, often, bits: int, number: int, s
         key, window, doc, row, start = (x[~later] for x in (key, window, doc, row, start))
         same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1)
         at, n = _segments(same, len(key))
-        edges = (np.r_[at, len(key)] * 8).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(window.tobytes())])
-        made = pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (key, doc, row, start)), pa.array(n.astype(np.int32)), packed], names)
+        made = pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (key, doc, row, start)), pa.array(n.astype(np.int32)), _binaries(window, at)], names)
         for a in range(0, made.num_rows, 1 << 15):
             yield made.slice(a, 1 << 15)
 
@@ -251,26 +253,99 @@ def repeated_starts(docs: DataFrame, copies: tuple, chars: int, k: int = WINDOW)
     keys = chars // 32  # words of some six characters, a sixth of them minimizers
     slices = 1 + keys // SLICE_KEYS
     bits = sketch.bits_for(keys // slices, 4)
-    out = []
-    for number in range(slices):
+    if slices > 1:
+        return written(_grouped(_sliced_candidates(docs, copies, slices, bits, k)))
+
+    def counted(batch):
+        keep = _cut(copies, np.asarray(batch.column(0)), np.asarray(batch.column(2)))
+        return (own for _, own in _minimizers(batch.column(1).filter(pa.array(keep)), k))
+
+    often = spark.sparkContext.broadcast(sketch.repeated_cells(docs.select("doc", "text", "hash"), counted, bits))
+
+    def select(batch):
+        keep = _cut(copies, np.asarray(batch.column(0)), np.asarray(batch.column(3)))
+        return batch.filter(pa.array(keep)), lambda heads, rows: sketch.may_repeat(often.value, heads, bits)
+
+    return written(_grouped(_candidates(docs.select("doc", "text", "row", "hash"), select, k)))
 
-        def counted(batch, number=number):
-            keep = _cut(copies, np.asarray(batch.column(0)), np.asarray(batch.column(2)))
-            for own in _minimizers(batch.column(1).filter(pa.array(keep)), k):
-                yield own[_of_slice(own, number, slices)] if slices > 1 else own
 
-        often = spark.sparkContext.broadcast(sketch.repeated_cells(docs.select("doc", "text", "hash"), counted, bits))
-        found = _candidates(docs.select("doc", "text", "row", "hash"), copies, often, bits, number, slices, k)
-        out.append(written(_grouped(found)))
+def _sliced_candidates(docs: DataFrame, copies: tuple, slices: int, bits: int, k: int) -> DataFrame:
+    """As _candidates, with the minimizers of all texts written once and counted slice by slice."""
+    spark = docs.sparkSession
+
+    def places(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(_cut(copies, np.asarray(batch.column(0)), np.asarray(batch.column(3)))))
+            for rows, own in _minimizers(batch.column(1), k):
+                of = _slice_of(own, slices)
+                order = np.lexsort((of, rows))
+                rows, of, own = rows[order], of[order], own[order]
+                at, _ = _segments((rows[1:] == rows[:-1]) & (of[1:] == of[:-1]), len(own))
+                owner = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), batch.column(0).take(owner), batch.column(2).take(owner), _binaries(own, at)], ["slice", "doc", "row", "keys"])
+
+    table = docs.select("doc", "text", "row", "hash").mapInArrow(places, "slice int, doc long, row long, keys binary")
+    table = written(table.repartition("slice", F.pmod(F.xxhash64("doc"), F.lit(32))), "slice")
+    passed = []
+    for number in range(slices):
+        part = table.where(F.col("slice") == number)
+        often = spark.sparkContext.broadcast(sketch.repeated_cells(part.select("keys"), lambda batch: iter([_keys_of(batch.column(0))[1]]), bits))
+
+        def may_repeat(batches, often=often):
+            for batch in batches:
+                rows, own = _keys_of(batch.column(2))
+                keep = sketch.may_repeat(often.value, own, bits)
+                rows, own = rows[keep], own[keep]
+                at, _ = _segments(rows[1:] == rows[:-1], len(own))
+                owner = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), _binaries(own, at)], ["doc", "row", "keys"])
+
+        passed.append(written(part.select("doc", "row", "keys").mapInArrow(may_repeat, "doc long, row long, keys binary")))
         often.unpersist()
-    return out[0] if slices == 1 else _union(out)
+    dropped(table)
+    every = passed[0]
+    for part in passed[1:]:
+        every = every.unionByName(part)
+    every = written(every.groupBy("doc", "row").agg(F.collect_list("keys").alias("keys")))
+    dropped(*passed)
+    holding, holding_bits = _broadcast_members(every.select("doc"))
+
+    def holders(batches):
+        for batch in batches:
+            (own,) = sketch.number_keys(batch.select([0]))
+            yield batch.filter(pa.array(sketch.may_repeat(holding.value, own, holding_bits)))
+
+    texts = docs.select("doc", "text", "row").mapInArrow(holders, "doc long, text string, row long")
+
+    def select(batch):
+        lists = batch.column(3)
+        entry, own = _keys_of(lists.flatten())
+        known = np.sort(_in_row(own, np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[entry]))
+
+        def among(heads, rows):
+            wanted = _in_row(heads, rows)
+            return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+
+        return batch, among
+
+    return _candidates(texts.join(every, ["doc", "row"]).select("doc", "text", "row", "keys"), select, k)
+
+
+def _in_row(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """One number for a key and the row it belongs to."""
+    return mix(keys ^ mix(rows.astype(U64)))
+
+
+def _binaries(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """8-byte values as one binary for each run that begins at `begins`."""
+    edges = (np.r_[begins, len(values)] * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, key) of all keys in a column of binaries."""
+    data, offsets = bytes_buffer(column)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 8), np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), U64)
 
 
 def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -293,6 +368,7 @@ def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     starts = repeated_starts(hashed, copies, rows["chars"], k).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
     gone = later.withColumn("whole", F.lit(True)).join(starts, ["doc", "row"], "full").select("doc", "row", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
     gone = written(gone)
+    dropped(later)
     # only texts that may lose words meet the words they lose; the others stay where they are
     losing, losing_bits = _broadcast_members(gone.select("doc"))
 
