@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from larkspur.llm import automaton, bpe, decontaminate, secrets, sketch, substrings, toxicity, words
-from tests.llm.conftest import SCHEMA, passage
+from tests.llm.conftest import SCHEMA, best_windows, passage, thue_morse
 
 
 def _frame(spark, rows):
@@ -163,14 +163,6 @@ def test_substrings_random(spark):
     assert sorted(map(tuple, substrings.deduplicated(docs).collect()), key=repr) == _removed(rows)
 
 
-def thue_morse(n, a="a", b="b"):
-    """A word of 2**n letters; with a and b swapped it collides under any polynomial modulo 2**64 from n = 10 on."""
-    word = a
-    for _ in range(n):
-        word += word.translate(str.maketrans(a + b, b + a))
-    return word
-
-
 def test_word_hashes_tell_thue_morse_words_apart():
     words_of = [thue_morse(n, *ab) for n in (1, 3, 5, 7, 10, 12) for ab in ("ab", "ba")] + ["a", "ab\0", "ab\0\0", "x" * 64, "x" * 65, "x" * 66, "漢字"]
     data = " ".join(words_of).encode()
@@ -256,6 +248,47 @@ def test_decontamination_finds_changed_passages(spark):
     assert [(r["doc_id"], r["start_word"]) for r in decontaminate.matches(docs, items).collect()] == [(1, 50)]
 
 
+def test_decontamination_against_all_windows(spark):
+    """Similarity, place and absence of all others: changed, shortened and mixed passages, with items that share shingles."""
+    rng = random.Random(21)
+    items = [(k, passage(40 + k // 2, 24 + 3 * k)) for k in range(8)] + [(8, "two words"), (9, passage(90, 120))]
+    docs = []
+    for i in range(60):
+        words = passage(200 + i, rng.randint(0, 40)).split()
+        for _ in range(rng.randint(1, 2)):
+            part = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 4)):
+                part[rng.randrange(len(part))] = rng.choice(["new", "TWO", "words", "x"])
+            cut = rng.choice([0, 0, 1, 2, 5])
+            at = rng.randint(0, len(words))
+            words[at:at] = part[cut:]
+        docs.append((i, " ".join(words)))
+    docs.append((60, thue_morse(10) + " " + items[0][1] + " " + thue_morse(10, "b", "a")))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["start_word"]) for r in decontaminate.matches(_frame(spark, docs), frame).collect()}
+    want = {(i, k): (round(score, 6), start) for i, t in docs for k, (score, start) in best_windows(t, items).items()}
+    assert len(want) > 20 and got == want
+
+
+def test_decontamination_of_thue_morse_words(spark):
+    """An item's long word differs from the text's: polynomials modulo a power of two would call them equal."""
+    item = passage(5, 20).split()
+    item[10] = thue_morse(10)
+    other = list(item)
+    other[10] = thue_morse(10, "b", "a")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = best_windows(" ".join(other), [(1, " ".join(item))], 0.0)[1][0]
+    assert want < 0.8 and decontaminate.matches(_frame(spark, [(1, " ".join(other))]), items).count() == 0
+
+
+def test_decontamination_of_long_items(spark):
+    """A long item in a longer text: memory follows the text, not the product of hits and window."""
+    item = " ".join(f"w{i * i % 9973}x{i}" for i in range(20_000))
+    docs = _frame(spark, [(1, passage(1, 3000) + " " + item + " " + passage(2, 3000))])
+    (r,) = decontaminate.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (r["start_word"], r["n_words"], r["similarity"]) == (3000, 20_000, 1.0)
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     items = decontaminate.Items(list(range(50)), [passage(k, 30) for k in range(50)])
@@ -294,6 +327,18 @@ def test_toxicity_held_out(spark, no_docs):
     assert kept.count() + len(got) == docs.count()
 
 
+def test_toxicity_of_string_ids_and_clashing_columns(spark):
+    """Ids may be strings, and other columns may have names that the operator uses inside."""
+    rows = [(f"d{i}", passage(i, 30) + (" scoundrelly nitwits" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for c in ("x", "y", "p_toxic", "toxic", "quality", "id"):
+        docs = docs.withColumn(c, F.lit("z"))
+    labels = spark.createDataFrame([(f"d{i}", 1, int(i % 4 == 0), "z") for i in range(150)], "doc_id string, quality int, toxic int, text string")
+    found = toxicity.rejected(docs, labels)
+    assert {r["doc_id"] for r in found.collect()} == {f"d{i}" for i in range(0, 200, 4)}
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [tuple(r) for r in toxicity.rejected(docs.repartition(3), labels.repartition(2)).orderBy("doc_id").collect()]
+
+
 def test_slices_of_the_benchmark_weigh_alike(spark, monkeypatch):
     """Items share their first 20 words, so a slice alone would take those for rare."""
     items = [(k, passage(90, 20) + " " + " ".join(f"i{k}x{j}" for j in range(30))) for k in range(12)]
