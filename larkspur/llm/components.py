@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, tidy, written
 
 #: Links that one task works on (16 bytes each).
 ONE_TASK = 1 << 17
@@ -67,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     if links.count() <= ONE_TASK:
-        out = written(links.coalesce(1).mapInArrow(_whole, "id long, component long"))
+        out = written(links.coalesce(1).mapInArrow(tidy(_whole), "id long, component long"))
         dropped(links)
         return out
     now = written(links.distinct())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, written
+from .shared import bounded_batches, tidy, written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -203,7 +203,7 @@ def _shared_shingles(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
                 own = [np.unique(shingles[pos[i] : pos[i + 1]]).view(np.int64) for i in range(hi - lo) if first[i + 1] > first[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], ["shingles"])
 
-    sets = written(items.select("text").mapInArrow(run, "shingles array<long>"))
+    sets = written(items.select("text").mapInArrow(tidy(run), "shingles array<long>"))
     counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     found = counts.toArrow()
     shingles, df = (np.asarray(found.column(c).combine_chunks()) for c in ("shingle", "df"))
@@ -267,7 +267,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                     cols = list(zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cols[0], _arrow(i)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+        one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
         out = one if k == 0 else out.unionByName(one)
     return out
 
@@ -291,7 +291,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                 keep[[row for row, _ in _searched(shared.value, batch.column(batch.schema.names.index(text)))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dropped, written
+from .shared import dropped, tidy, written
 
 COSINE = 0.95
 FIT_SAMPLE = 20_000
@@ -86,7 +86,7 @@ def _classes(vectors: DataFrame, width: int) -> DataFrame:
                 out.append(None if v is None else v.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["vec_id", "key", "vector"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, key binary, vector binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(tidy(run), f"vec_id {kind}, key binary, vector binary")
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -323,7 +323,7 @@ def _dealt(reps: DataFrame, books: Codebooks, width: int, overlap: int) -> DataF
             lists = pa.array(list(near), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *(c.take(at) for c in batch.columns), lists.take(at)], ["shard", "id", "members", "vector", "shards"])
 
-    dealt = written(reps.select("id", "members", "vector").mapInArrow(assign, "shard long, id long, members long, vector binary, shards array<long>"))
+    dealt = written(reps.select("id", "members", "vector").mapInArrow(tidy(assign), "shard long, id long, members long, vector binary, shards array<long>"))
     large = dealt.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(most)).alias("blocks")).where("blocks > 1")
     dealt = dealt.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
@@ -557,7 +557,7 @@ def _recall(some: DataFrame, reps: DataFrame, links: DataFrame, width: int, cosi
                 n = near @ np.asarray(batch.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(n.astype(np.int64))], ["id", "n"])
 
-    true = reps.select("id", "members", "vector").mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = reps.select("id", "members", "vector").mapInArrow(tidy(brute), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     n, held = true.join(links, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("others", F.lit(0))))).first()
     return held / n if n else 1.0
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import Automaton, compile_patterns
+from .shared import tidy
 
 
 @dataclass(frozen=True)
@@ -171,7 +172,7 @@ def scan(df: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:-2]), pa.array(out[-2], pa.string()), pa.array(out[-1], pa.string())], ["doc_id", *(f"n_{b}" for b in base), "base_sha256", "spans"])
 
     columns = "".join(f", n_{b} long" for b in base)
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}{columns}, base_sha256 string, spans string")
+    return df.select(doc_id, text).mapInArrow(tidy(run), f"doc_id {kind}{columns}, base_sha256 string, spans string")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

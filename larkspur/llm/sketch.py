@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import tidy
 from .words import U64, mix
 
 ROWS = 2
@@ -97,8 +98,8 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array([np.packbits(v >= least).tobytes() for v in seen.values()], pa.binary())], ["cell_row", "block", "bits"])
 
     parts = 1 << max(0, min(8, bits - _BLOCK_BITS))
-    counters = df.mapInArrow(count, "cell_row int, block int, once binary, more binary")
-    merged = counters.repartition(parts, "cell_row", "block").mapInArrow(merge, "cell_row int, block int, bits binary")
+    counters = df.mapInArrow(tidy(count), "cell_row int, block int, once binary, more binary")
+    merged = counters.repartition(parts, "cell_row", "block").mapInArrow(tidy(merge), "cell_row int, block int, bits binary")
     out = np.zeros((depth, (1 << bits) // width, width // 8), np.uint8)
     for r in merged.collect():  # of bounded size; a job for each partition would take longer
         out[r["cell_row"], r["block"]] = np.frombuffer(r["bits"], np.uint8)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import bounded_batches, dropped, written
+from .shared import bounded_batches, dropped, tidy, written
 from .words import U64, Words, bytes_buffer, mix, runs_of, text_chunks
 
 WINDOW = 20
@@ -95,7 +95,7 @@ def first_copies(docs: DataFrame) -> tuple:
             (own,) = sketch.number_keys(batch.select([2]))
             yield batch.filter(pa.array(sketch.may_repeat(often.value, own, bits)))
 
-    shared = written(keys.mapInArrow(some, keys.schema))
+    shared = written(keys.mapInArrow(tidy(some), keys.schema))
     firsts = written(shared.groupBy("hash", "sum").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))
     later = shared.join(firsts.where("copies > 1"), ["hash", "sum"]).where(F.col("doc") > F.col("first")).select("doc", "row").distinct()
     later, members = written(later), _broadcast_members(firsts.select("first"))
@@ -190,7 +190,7 @@ def _candidates(docs: DataFrame, select, k: int) -> DataFrame:
         for a in range(0, made.num_rows, 1 << 15):
             yield made.slice(a, 1 << 15)
 
-    return docs.mapInArrow(run, "key long, doc long, row long, start int, n int, windows binary")
+    return docs.mapInArrow(tidy(run), "key long, doc long, row long, start int, n int, windows binary")
 
 
 def _grouped(found: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _grouped(found: DataFrame) -> DataFrame:
         order = np.argsort(seen)
         return _covered(doc[later], row[later], start[later]), (key[-1], seen[order], seen_doc[order], seen_start[order])
 
-    return found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, "doc long, row long, start int, n int")
+    return found.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(tidy(run), "doc long, row long, start int, n int")
 
 
 def repeated_starts(docs: DataFrame, copies: tuple, chars: int, k: int = WINDOW) -> DataFrame:
@@ -284,7 +284,7 @@ def _sliced_candidates(docs: DataFrame, copies: tuple, slices: int, bits: int, k
                 owner = pa.array(rows[at])
                 yield pa.RecordBatch.from_arrays([pa.array(of[at].astype(np.int32)), batch.column(0).take(owner), batch.column(2).take(owner), _binaries(own, at)], ["slice", "doc", "row", "keys"])
 
-    table = docs.select("doc", "text", "row", "hash").mapInArrow(places, "slice int, doc long, row long, keys binary")
+    table = docs.select("doc", "text", "row", "hash").mapInArrow(tidy(places), "slice int, doc long, row long, keys binary")
     table = written(table.repartition("slice", F.pmod(F.xxhash64("doc"), F.lit(32))), "slice")
     passed = []
     for number in range(slices):
@@ -300,7 +300,7 @@ def _sliced_candidates(docs: DataFrame, copies: tuple, slices: int, bits: int, k
                 owner = pa.array(rows[at])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), _binaries(own, at)], ["doc", "row", "keys"])
 
-        passed.append(written(part.select("doc", "row", "keys").mapInArrow(may_repeat, "doc long, row long, keys binary")))
+        passed.append(written(part.select("doc", "row", "keys").mapInArrow(tidy(may_repeat), "doc long, row long, keys binary")))
         often.unpersist()
     dropped(table)
     every = passed[0]
@@ -315,7 +315,7 @@ def _sliced_candidates(docs: DataFrame, copies: tuple, slices: int, bits: int, k
             (own,) = sketch.number_keys(batch.select([0]))
             yield batch.filter(pa.array(sketch.may_repeat(holding.value, own, holding_bits)))
 
-    texts = docs.select("doc", "text", "row").mapInArrow(holders, "doc long, text string, row long")
+    texts = docs.select("doc", "text", "row").mapInArrow(tidy(holders), "doc long, text string, row long")
 
     def select(batch):
         lists = batch.column(3)
@@ -407,8 +407,8 @@ def deduplicated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             yield digest(*batch.columns)
 
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
-    cut = keyed.mapInArrow(others, keyed.schema).join(gone, ["doc", "row"], "left").select("doc_id", "text", "starts", "whole")
-    return keyed.select("doc_id", "doc", "text").mapInArrow(whole_texts, schema).unionByName(cut.mapInArrow(cut_texts, schema))
+    cut = keyed.mapInArrow(tidy(others), keyed.schema).join(gone, ["doc", "row"], "left").select("doc_id", "text", "starts", "whole")
+    return keyed.select("doc_id", "doc", "text").mapInArrow(tidy(whole_texts), schema).unionByName(cut.mapInArrow(tidy(cut_texts), schema))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

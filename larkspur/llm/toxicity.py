@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import bounded_batches
+from .shared import bounded_batches, tidy
 from .words import U64, Words, mix, text_chunks
 
 #: Labelled rows of either class that the models are fitted on, at most.
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | N
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = joined.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y array<int>, x binary").collect()
+    rows = joined.select("doc_id", "text", "y").mapInArrow(tidy(run), f"doc_id {kind}, y array<int>, x binary").collect()
     rows = sorted(rows, key=lambda r: (str(r["doc_id"]), bytes(r["x"])))  # folds are dealt alike in every process
     if not any(r["y"][1] for r in rows) or all(r["y"][1] for r in rows):
         return None
@@ -246,7 +246,7 @@ def score(docs: DataFrame, chain: Chain | None, text: str = "text", keep=None) -
             made = pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(len(names)))], [*own, *(f"p_{n}" for n in names)])
             yield made if keep is None else made.filter(pa.array((p[:, 1] >= THRESHOLD) == keep))
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
