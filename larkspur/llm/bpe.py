@@ -12,12 +12,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from .shared import bounded_batches
+from .shared import bounded_batches, tidy
 
 # Unicode White_Space, which is what \s means to the pattern.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -135,7 +136,32 @@ def _mapped(df, rank_data, pattern, source, target, spark_type, kind, f) -> Data
             done = pa.array(f(codec, batch.column(batch.schema.names.index(source))), kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), done], [*names, target])
 
-    return df.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in keep]).mapInArrow(tidy(run), schema)
+
+
+def round_trips(df: DataFrame, rank_data: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """df without its text, with token_ids and round_trip: does decoding the ids give back the text's bytes?
+
+    Both ways in one worker, row by row.  Null or empty text: no tokens.
+    """
+    bounded_batches(df.sparkSession)
+    ranks = df.sparkSession.sparkContext.broadcast(rank_data)
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*kept, StructField("token_ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    place = len(kept)
+
+    def run(batches):
+        codec = _codec(ranks.value, pattern)
+        for batch in batches:
+            coded, same = [], []
+            for value in batch.column(place):
+                whole = value.as_py() or ""
+                ids = codec.encode(whole)
+                same.append(codec.decode(ids) == whole.encode())
+                coded.append(np.array(ids, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(coded, pa.list_(pa.int32())), pa.array(same, pa.bool_())], schema.names)
+
+    return df.select(*[f"`{f.name}`" for f in kept], text).mapInArrow(tidy(run), schema)
 
 
 def digests(df: DataFrame, rank_data: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +186,7 @@ def digests(df: DataFrame, rank_data: bytes, pattern: str, doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(doc_id, text).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
