@@ -10,15 +10,17 @@ overlap plus what may still follow lies below the bound given by its sizes is
 discarded.  The rest get their full overlap in blocks.
 
 Equal rows count once.  Before the product, each wide column is multiplied with one
-central row only, and rows found linked are merged: a group of near copies is
-mostly one component by then, and the product skips pairs inside a component, so no
-column of theirs yields its square.  Narrow columns, of WIDE entries at most, are
-multiplied where they lie after one exchange.
+row only, and rows found linked are merged; rows outside a column's largest component
+then meet other rows of it in turn.  A group of near copies is mostly one component
+by then.  What is left of wide columns is multiplied in blocks of rows that accumulate
+inside a task, so no column yields its square as rows.  Narrow columns, of WIDE
+entries at most, are multiplied where they lie after one exchange.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +29,25 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .shared import bounded_batches, dropped, written
+from .shared import bounded_batches, dropped, tidy, written
 from .words import U64, mix, shingle_hashes, text_chunks, word_hashes
 
 SHINGLE = 3
 THRESHOLD = 90  # hundredths
 #: Columns with more entries count as wide and are first multiplied with one of their rows.
 WIDE = 16
+#: Wide columns meet another row of theirs while they hold more than so many pairs for each entry, at most TURNS rows.
+FEW_PAIRS = 4
+TURNS = 8
+#: Rows of a block of wide columns.
+BLOCK = 256
 #: The sketch that orders n-grams has 2**24 cells (16 MB as levels); more data blur the order, never the result.
 _CELL_BITS = 24
 _BLOCK_BITS = 18
 #: Pairs that are sent to all executors (32 bytes each, twice); more are joined by an exchange of both sides.
 BROADCAST_PAIRS = 1 << 18
 #: Partners in a block that meets one copy of a row's set.
-PARTNERS = 1024
+PARTNERS = 128
 
 
 def _rows(column: pa.Array, k: int):
@@ -78,7 +85,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 data = zlib.compress(sketch.pack_sorted(at), 1), zlib.compress(part[at].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, of), no, no, no, pa.array([block], pa.int32()), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, block int, at binary, counts binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, k1 long, k2 long, block int, at binary, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
@@ -95,7 +102,7 @@ def _levels(sketches: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
 
     out = np.zeros(1 << _CELL_BITS, np.uint8)
-    for r in sketches.repartition(64, "block").mapInArrow(run, "block int, levels binary").collect():
+    for r in sketches.repartition(64, "block").mapInArrow(tidy(run), "block int, levels binary").collect():
         out[r["block"] << _BLOCK_BITS : (r["block"] + 1) << _BLOCK_BITS] = np.frombuffer(r["levels"], np.uint8)
     return out
 
@@ -133,7 +140,7 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, levels, k: int, threshold: int)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (n, p, last, index_last)), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "p", "last", "index_last", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, p long, last long, index_last long, grams array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n long, p long, last long, index_last long, grams array<long>")
 
 
 def _keys(level: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -179,7 +186,7 @@ def _entries(first: DataFrame, levels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(grams[a : a + (1 << 17)]), *(pa.array(c[r].astype(np.int64)) for c in columns), pa.array(at[a : a + (1 << 17)].astype(np.int64))], _ENTRY)
 
     rows = first.select(F.col("doc_id").cast("long").alias("node"), "n", "p", "last", "index_last", "grams")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _ENTRY))
+    return rows.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in _ENTRY))
 
 
 def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +201,7 @@ def _split(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
                 (own,) = sketch.number_keys(batch.select([0]))
                 yield batch.filter(pa.array(sketch.may_repeat(shared.value, own, bits) == inside))
 
-        return entries.mapInArrow(run, entries.schema)
+        return entries.mapInArrow(tidy(run), entries.schema)
 
     return part(False), written(part(True))
 
@@ -235,25 +242,95 @@ def _narrow_pairs(labelled: DataFrame, threshold: int) -> DataFrame:
             out = [x["node"], y["node"], x["n"], y["n"], x["index_last"], y["last"], y["p"]]
             yield pa.RecordBatch.from_arrays([pa.array(v[fits]) for v in out], _PAIR)
 
-    return labelled.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, ", ".join(f"{c} long" for c in _PAIR))
+    return labelled.repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in _PAIR))
 
 
-def _wide_pairs(labelled: DataFrame, threshold: int) -> DataFrame:
-    """As _narrow_pairs for columns of any width, by joins.
+def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """Entries with the component of their row; a row without links is one of its own."""
+    return entries.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", *_ENTRY[1:], "component")
 
-    Only columns that hold several components give pairs; no pair lies in the largest
-    component of a column, so one side is always outside it.
+
+_HUB = ("node", "n", "last", "alone", "alone_last")
+
+
+def _hubs(wide: DataFrame) -> DataFrame:
+    """(gram, hub): the row of fewest lone n-grams of each column."""
+    return wide.groupBy("gram").agg(F.min(F.struct("alone", "n", "node", "last", "alone_last")).alias("hub"))
+
+
+def _largest(labelled: DataFrame, turn: int) -> DataFrame:
+    """(gram, size, members, component, hub): the largest component of each column, and a row of it that differs from turn to turn."""
+    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), *_HUB)).alias("hub"))
+    largest = F.max(F.struct("members", "component", "hub")).alias("largest")
+    return parts.groupBy("gram").agg(F.sum("members").alias("size"), largest).select("gram", "size", "largest.members", "largest.component", "largest.hub")
+
+
+def _stars(entries: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of the hub of each column with its other rows that may link."""
+    x = hubs.select("gram", *[F.col(f"hub.{c}").alias(f"{c}_x") for c in _HUB])
+    y = entries.select("gram", *[F.col(c).alias(f"{c}_y") for c in _HUB])
+    return y.join(x, "gram").where((F.col("node_x") != F.col("node_y")) & _possible(threshold)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _block_links(labelled: DataFrame, columns: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) of rows outside the largest component of a column with its other rows, by full overlaps.
+
+    Columns with the same largest component are one group.  Blocks of BLOCK rows of a
+    group meet, and their product is accumulated inside one task: rows are sent once
+    to each block that they meet, pairs never.  Of the links of a row in a block one
+    for each component comes back.
     """
-    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    several = parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest")).where("parts > 1")
-    labelled = written(labelled.join(several.select("gram", F.col("largest.component").alias("largest")), "gram").withColumn("inside", F.col("component") == F.col("largest")).drop("largest"))
-    renamed = lambda s: labelled.select("gram", *[F.col(x).alias(f"{x}_{s}") for x in ("component", "inside", "node", "n", "p", "last", "index_last", "alone", "alone_last", "at")])
-    one, two = renamed("x").where(F.col("at_x") < _index_length("n_x", threshold)), renamed("y")
-    shorter = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    ahead = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    fits = shorter & (F.col("component_x") != F.col("component_y")) & _possible(threshold) & (ahead >= _need(threshold))
-    pairs = one.where("not inside_x").join(two, "gram").where(fits).unionByName(one.where("inside_x").join(two.where("not inside_y"), "gram").where(fits))
-    return pairs.select(*_PAIR)
+    group = columns.where("members < size").select("gram", F.col("component").alias("g"))
+    nodes = written(labelled.join(group, "gram").select("g", "node", "component").distinct().withColumn("outside", F.col("component") != F.col("g")))
+    size = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1))
+    sizes = nodes.groupBy("g").agg(size(F.count("*")).alias("blocks"), size(F.count_if("outside")).alias("outer")).where("outer > 0")
+    rows = nodes.join(sizes, "g")
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asking = rows.where("outside").select("g", own(F.col("outer")).alias("i"), every(F.col("blocks")).alias("j"), F.lit(1).alias("asks"), "node", "component")
+    others = rows.select("g", every(F.col("outer")).alias("i"), own(F.col("blocks")).alias("j"), F.lit(0).alias("asks"), "node", "component")
+    full = _full_sets(nodes.select(F.col("node").alias("id")).distinct(), docs, k).withColumnRenamed("id", "node")
+    meets = asking.unionByName(others).join(full, "node").select("g", "i", "j", "asks", "node", "component", "grams")
+
+    def multiply(batches):
+        block, held, product = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for g, i, j, asks, node, component, grams in zip(*(batch.column(c).to_pylist() for c in range(6)), batch.column(6)):
+                if block != (g, i, j):
+                    block, held, product = (g, i, j), [], None
+                one = np.frombuffer(grams.as_buffer(), U64)
+                if not asks:
+                    held.append((node, component, one.copy()))
+                    continue
+                if held:
+                    product = product or _Block(held)
+                    found = product.linked(node, component, one, threshold)
+                    a += [node] * len(found)
+                    b += found
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return meets.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "asks").mapInArrow(tidy(multiply), "a long, b long")
+
+
+class _Block:
+    """The columns of some rows (node, component, grams): one row's overlaps with all of them come from one pass over its n-grams."""
+
+    def __init__(self, rows):
+        self.nodes, self.components = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:2])
+        self.sizes = np.array([len(x) for _, _, x in rows])
+        grams = np.concatenate([x for _, _, x in rows])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.rows = grams[order], np.repeat(np.arange(len(rows)), self.sizes)[order]
+
+    def linked(self, node: int, component: int, grams: np.ndarray, threshold: int) -> list[int]:
+        lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        common = np.bincount(self.rows[at], minlength=len(self.nodes))
+        link = (100 * common >= threshold * (len(grams) + self.sizes - common)) & (self.components != component) & (self.nodes != node)
+        _, first = np.unique(self.components[link], return_index=True)
+        return self.nodes[link][first].tolist()
 
 
 def _need(threshold: int):
@@ -265,14 +342,8 @@ def _index_length(n: str, threshold: int):
     return F.col(n) - F.ceil(F.lit(2 * threshold) * F.col(n) / F.lit(100 + threshold) - 1e-9) + 1
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link, by full overlaps.  Only rows in pairs are read into sets again.
-
-    The set of a goes once to each block of its partners, the set of b to each a that
-    it meets; an a with very many partners has its blocks in many tasks.
-    """
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, grams): the sorted n-grams of the rows in ids, and of some others that pass a Bloom filter."""
     inside, bits = sketch.members(ids)
     shared = docs.sparkSession.sparkContext.broadcast(inside)
 
@@ -286,7 +357,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
                 out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([kept.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["id", "grams"])
 
-    full = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, grams binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sets), "id long, grams binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link, by full overlaps.  Only rows in pairs are read into sets again.
+
+    The set of a goes once to each block of its partners, the set of b to each a that
+    it meets; an a with very many partners has its blocks in many tasks.
+    """
+    pairs = written(pairs)
+    full = _full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), docs, k)
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("blocks"))
     dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).drop("blocks")
     meets = dealt.select("a", "block", F.col("b").alias("id"), F.lit(1).alias("partner"))
@@ -309,7 +390,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
                     b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return joined.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(multiply, "a long, b long")
+    return joined.repartition("a", "block").sortWithinPartitions("a", "block", "partner").mapInArrow(tidy(multiply), "a long, b long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -339,25 +420,36 @@ def linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     entries = written(_entries(first, levels))
     dropped(first)
 
-    # wide columns: multiply with their row of fewest lone n-grams, merge what links
+    # wide columns: multiply with one row of theirs, merge what links; again with another row while many pairs are left
     narrow, wide = _split(entries)
-    side = lambda s: [F.col(x).alias(f"{x}_{s}") for x in ("node", "n", "last", "alone", "alone_last")]
-    hubs = wide.groupBy("gram").agg(F.min(F.struct("alone", "n", "node", "last", "alone_last")).alias("hub"))
-    hubs = hubs.select("gram", "hub.*").select("gram", *side("x"))
-    stars = wide.select("gram", *side("y")).join(hubs, "gram").where((F.col("node_x") != F.col("node_y")) & _possible(threshold))
-    stars = stars.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    links = [written(_verified(stars, docs, k, threshold))]
-    label = written(components(links[0]).withColumnsRenamed({"id": "node"}))
-
-    # all columns: pairs of rows of different components, the shorter row by its index prefix
-    labelled = lambda e: e.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).select("gram", *_ENTRY[1:], "component")
-    pairs = _narrow_pairs(labelled(narrow), threshold).unionByName(_wide_pairs(written(labelled(wide)), threshold))
+    links = [written(_verified(_stars(wide, _hubs(wide), threshold), docs, k, threshold))]
+    label, before = written(components(links[0]).withColumnsRenamed({"id": "node"})), None
+    for turn in range(1, TURNS + 1):
+        joined = written(_labelled(wide, label))
+        columns = written(_largest(joined, turn))
+        load, rows = columns.agg(F.sum((F.col("size") - F.col("members")) * F.col("size")), F.sum("size")).first()
+        if turn == TURNS or not load or load <= FEW_PAIRS * rows or (before is not None and load > 0.8 * before):
+            break
+        before = load
+        outside = joined.join(columns.select("gram", F.col("component").alias("largest")), "gram").where(F.col("component") != F.col("largest"))
+        links.append(written(_verified(_stars(outside, columns.select("gram", "hub"), threshold), docs, k, threshold)))
+        dropped(joined, columns, label)
+        label = written(components(reduce(DataFrame.unionByName, links)).withColumnsRenamed({"id": "node"}))
+
+    # what is left of wide columns: blocks of rows outside their largest component against blocks of all their rows
+    if load:
+        links.append(written(_block_links(joined, columns, docs, k, threshold)))
+    dropped(joined, columns)
+
+    # narrow columns: pairs of rows of different components, the shorter row by its index prefix.  A pair that
+    # shares a wide column too is in a block already, so the overlaps of all others are whole here.
+    pairs = _narrow_pairs(_labelled(narrow, label), threshold)
     left, right = F.col("n_x") - _index_length("n_x", threshold), F.col("n_y") - F.col("p_y")
     rest = F.when(F.col("index_last_x") < F.col("last_y"), left).when(F.col("index_last_x") > F.col("last_y"), right).otherwise(F.greatest(left, right))
     pairs = pairs.groupBy(*_PAIR).agg(F.count("*").alias("overlap")).where(F.col("overlap") + rest >= _need(threshold))
     links.append(written(_verified(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), docs, k, threshold)))
     dropped(entries, wide, label)
-    label = written(components(links[0].unionByName(links[1])))
+    label = written(components(reduce(DataFrame.unionByName, links)))
 
     of_set = written(same.join(label.withColumnsRenamed({"id": "node"}), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
     dropped(same, label, *links)
