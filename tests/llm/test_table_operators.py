@@ -176,7 +176,7 @@ def test_host_verdicts(spark):
     hosts = [f"h{k}.test" for k in range(25)] + ["shop.com", "x.com", "www.example.org", "a.org"]
     rows, links, good, bad = [], {}, {}, {}
     for i in range(160):
-        host = rng.choice(hosts)
+        host = rng.choice(hosts + hosts[25:] * 5)
         path = rng.choice(["/de/1", "/fr/2", "/es/3", "/en/12", "/", ""])
         to = [rng.choice(hosts) for _ in range(rng.randint(0, 3))]
         html = " ".join(rng.choice(["<a href='http://{}/q'>", '<a class="x" href="//{}?a">', '<A HREF = "https://{}#b">']).format(t.upper() if rng.random() < 0.3 else t) for t in to)
