@@ -25,11 +25,16 @@ def same_length(a: Column, b: Column) -> Column:
     return F.size(a) == F.size(b)
 
 
-def parsed_titles(df: DataFrame, text: str) -> DataFrame:
-    """(id, title) from JSON arrays of {id, title}: blank or mistyped entries drop alone, the last of an id wins."""
+def parsed_titles(df: DataFrame, text: str, order: str | None = None) -> DataFrame:
+    """(id, title) from JSON arrays of {id, title}: blank or mistyped entries drop alone, the last of an id wins.
+
+    With several texts, the last is that of the greatest `order`.  A text beyond the
+    size of a variant (128 MiB) counts as broken; long lists belong in several texts.
+    """
     entries = F.variant_get(F.try_parse_json(text), "$", "array<variant>")
-    rows = df.select(F.posexplode(entries).alias("pos", "entry"))
-    rows = rows.select("pos", F.try_variant_get("entry", "$.id", "string").alias("id"), F.try_variant_get("entry", "$.title", "string").alias("title"))
+    rows = df.select(*([F.col(order).alias("at")] if order else []), F.posexplode(entries).alias("pos", "entry"))
+    place = F.struct("at", "pos") if order else F.col("pos")
+    rows = rows.select(place.alias("pos"), F.try_variant_get("entry", "$.id", "string").alias("id"), F.try_variant_get("entry", "$.title", "string").alias("title"))
     return rows.where("trim(id) <> '' and trim(title) <> ''").groupBy("id").agg(F.max_by("title", "pos").alias("title"))
 
 
