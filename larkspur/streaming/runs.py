@@ -176,14 +176,15 @@ def reconciled_runs(runs: DataFrame, probes: DataFrame, now: Column, silence_us:
     return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in runs.columns])
 
 
-def coalesced_frames(frames: DataFrame, listener: list[str], gap_ms: int = 500) -> DataFrame:
+def coalesced_frames(frames: DataFrame, listener: list[str], gap_ms: int = 500, guarded: bool = True) -> DataFrame:
     """(listener..., at_ms, seq, sent_ms): when each frame is pushed, or null where a newer one takes its place.
 
     frames: (listener..., at_ms, seq, terminal).  Frames that are not newer are
-    dropped; the first goes at once, later ones at the end of the gap, where only the
-    latest counts; terminal frames never wait.
+    dropped (guarded=False: all are kept, seq only orders those of one moment); the
+    first goes at once, later ones at the end of the gap, where only the latest
+    counts; terminal frames never wait.
     """
-    guarded = monotone_partition(frames, listener)
+    rows = monotone_partition(frames, listener) if guarded else frames
     following = F.lead("at_ms").over(Window.partitionBy(*listener).orderBy("at_ms", "seq"))
 
     def step(sent, at, _, terminal, after):
@@ -192,8 +193,7 @@ def coalesced_frames(frames: DataFrame, listener: list[str], gap_ms: int = 500)
         flush = sent + gap_ms
         return (flush, (flush,)) if after is None or after > flush else (sent, (None,))
 
-    rows = guarded.withColumn("_after", following)
-    out = sorted_fold(rows, listener, ["at_ms", "seq"], ["terminal", "_after"], [StructField("sent_ms", LongType())], lambda: None, step)
+    out = sorted_fold(rows.withColumn("_after", following), listener, ["at_ms", "seq"], ["terminal", "_after"], [StructField("sent_ms", LongType())], lambda: None, step)
     return out.select(*listener, "at_ms", "seq", "sent_ms")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import arrays as A
 from larkspur.plans import catalog
+from larkspur.streaming import runs
 
 
 def against_duckdb(spark, folder, name, table):
@@ -33,3 +34,19 @@ def test_title_texts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     got, want = against_duckdb(spark, tmp_path, "parsed_title_batches", "orders")
     assert got == want
     assert sorted(t.count('"id"') for t in texts) == [500, 1000, 1000, 1000]
+
+
+def test_frames_whose_ids_do_not_follow_time(spark, tmp_path):
+    i = F.col("id")
+    at = F.timestamp_micros(1704067200000000 + (i * 7919 % 400) * 60_000_000 * 50).cast("timestamp_ntz")
+    kind = F.when(i % 13 == 0, "error").otherwise("view")
+    spark.range(400).select(i.alias("event_id"), at.alias("ts"), (i % 3).alias("user_id"), kind.alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = against_duckdb(spark, tmp_path, "coalesced_frames", "events")
+    assert len(got) == 400 and got == want
+
+
+def test_guarded_frames_drop_what_is_not_newer(spark):
+    frames = spark.createDataFrame([(1, 0, 5, False), (1, 600, 4, False), (1, 1200, 6, False)], "who int, at_ms long, seq long, terminal boolean")
+    sent = lambda **how: [(r["seq"], r["sent_ms"]) for r in runs.coalesced_frames(frames, ["who"], **how).orderBy("at_ms").collect()]
+    assert sent() == [(5, 0), (6, 1200)]
+    assert sent(guarded=False) == [(5, 0), (4, 600), (6, 1200)]
