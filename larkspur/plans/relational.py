@@ -224,7 +224,7 @@ with e as (select o_orderkey as key, o_orderdate + to_hours((o_totalprice::bigin
 select 'due' as bucket, key from (select * from e where next_check <= timestamp '1995-01-01' order by next_check, key limit 25)
 union all select 'upcoming', key from (select * from e where next_check > timestamp '1995-01-01' order by next_check, key limit 25)""")
 def recheck_queue(spark, d):
-    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.floor("o_totalprice") % 1000).cast("int"))).alias("next_check"))
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderdate") + F.make_dt_interval(hours=(F.rint("o_totalprice").cast("long") % 1000).cast("int"))).alias("next_check"))
     rows = rows.where(F.col("next_check").isNotNull())
     due, upcoming, _ = L.schedule(rows, F.lit("1995-01-01").cast("timestamp_ntz"), 25, 25, 25)
     return due.select(F.lit("due").alias("bucket"), "key").unionByName(upcoming.select(F.lit("upcoming").alias("bucket"), "key"))

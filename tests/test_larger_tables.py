@@ -50,3 +50,12 @@ def test_guarded_frames_drop_what_is_not_newer(spark):
     sent = lambda **how: [(r["seq"], r["sent_ms"]) for r in runs.coalesced_frames(frames, ["who"], **how).orderBy("at_ms").collect()]
     assert sent() == [(5, 0), (6, 1200)]
     assert sent(guarded=False) == [(5, 0), (4, 600), (6, 1200)]
+
+
+def test_rechecks_by_rounded_hours(spark, tmp_path):
+    cents = F.element_at(F.array(*[F.lit(x) for x in (0.49, 0.5, 0.51, 0.99)]), (F.col("id") % 4 + 1).cast("int"))
+    at = F.timestamp_micros(788832000000000 + (F.col("id") % 3) * 86_400_000_000).cast("timestamp_ntz")
+    rows = spark.range(60).select(F.col("id").alias("o_orderkey"), at.alias("o_orderdate"), (F.col("id") * 7 % 60 + 970 + cents).alias("o_totalprice"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    got, want = against_duckdb(spark, tmp_path, "recheck_queue", "orders")
+    assert {dict(r)["bucket"] for r in got} == {"due", "upcoming"} and got == want
